@@ -81,8 +81,8 @@ def violation_counts(df: DataFrame, types: str, parking_types: list[str]) -> Dat
 
 def days_since_start(df: DataFrame, ts: str) -> DataFrame:
     """Fractional days since the first record."""
-    start = df.agg(F.min(F.unix_micros(ts))).scalar()
-    return df.withColumn("days_since_start", (F.unix_micros(ts) - start) / 86_400_000_000)
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    return df.withColumn("days_since_start", (micros - df.agg(F.min(micros)).scalar()) / 86_400_000_000)
 
 
 def location_load(df: DataFrame, location: str, vehicle: str) -> DataFrame:

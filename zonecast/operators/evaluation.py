@@ -78,12 +78,12 @@ def daily_precision_at_k(preds: DataFrame, by: list[str], k: int = 10, per_day:
     guess = _leaders(preds, "yhat", day, k).select(*day, "zone_id")
     hits = true.join(guess, [*day, "zone_id"]).groupBy(*day).agg(F.count(F.lit(1)).alias("_hits"))
     counts = (F.col("_zones") >= k) & (F.col("_top") != 0)
-    daily = stats.join(hits, day, "left").withColumn(
-        "precision", F.when(counts, F.coalesce("_hits", F.lit(0)) / float(k))
-    )
+    daily = stats.join(hits, day, "left").withColumn("_hits", F.when(counts, F.coalesce("_hits", F.lit(0))))
     if per_day:
-        return daily.filter("precision IS NOT NULL").select(*day, "precision")
-    return daily.groupBy(*by).agg(F.coalesce(F.avg("precision"), F.lit(0.0)).alias("p10"))
+        return daily.filter("_hits IS NOT NULL").select(*day, (F.col("_hits") / float(k)).alias("precision"))
+    # whole hits are summed and divided once, so the mean does not depend on the order of the days
+    mean = F.sum("_hits") / (F.count("_hits") * k)
+    return daily.groupBy(*by).agg(F.coalesce(mean, F.lit(0.0)).alias("p10"))
 
 
 def metrics_long(preds: DataFrame, k: int = 10) -> DataFrame:
