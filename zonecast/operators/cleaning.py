@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from zonecast.functions import scalars as S
 from zonecast.operators.ordering import with_position
-from zonecast.operators.skew import lookup_join
+from zonecast.operators.skew import hot_keys, lookup_join
 from zonecast.session import materialize
 
 # Source columns worth keeping; descriptions and closing times are mostly empty.
@@ -90,14 +90,14 @@ def location_load(df: DataFrame, location: str, vehicle: str) -> DataFrame:
     load = df.groupBy(location).agg(
         F.count(F.lit(1)).alias("location_frequency"), F.count(vehicle).alias("vehicle_density")
     )
-    return lookup_join(df, load, [location], "left")
+    return lookup_join(df, load, [location], "left", hot=hot_keys(load, [location], F.col("location_frequency")))
 
 
 def encode_category(df: DataFrame, column: str) -> DataFrame:
     """Add `<column>_code`: 0 for the most frequent value, equal counts in text order."""
     counts = materialize(df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n")), "codes")
     coded = with_position(counts, [F.desc("_n"), F.asc(column)], f"{column}_code", counts.count())
-    return lookup_join(df, coded.drop("_n"), [column], "left")
+    return lookup_join(df, coded.drop("_n"), [column], "left", hot=hot_keys(counts, [column], F.col("_n")))
 
 
 def with_recency(df: DataFrame, days: str = "days_since_start") -> DataFrame:

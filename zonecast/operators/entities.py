@@ -56,8 +56,8 @@ def rank_entities(records: DataFrame, kinds: dict = ENTITY_KINDS) -> DataFrame:
     by_score = [F.desc("hotspot_score"), F.desc("total_violations"), F.asc("entity_type"), F.asc("raw_name")]
     placed = with_position(scored, by_score, "_global", n)
     placed = with_position(placed, [F.asc("entity_type"), F.asc("_global")], "_place", n)
-    # types are few: one row each
-    starts = placed.groupBy("entity_type").agg(F.min("_place").alias("_start"))
+    # one row per type of `kinds`
+    starts = F.broadcast(placed.groupBy("entity_type").agg(F.min("_place").alias("_start")))
     name = F.col("raw_name")
     for kind, (_, cleaner) in kinds.items():
         if cleaner is not None:

@@ -15,16 +15,22 @@ SCORE_WEIGHTS = {"total": 0.35, "parking": 0.25, "peak": 0.20, "recency": 0.10,
 def log_minmax(df: DataFrame, columns: list[str], by: str | None = None) -> DataFrame:
     """Add `norm_<column>`: log1p scaled to 0..1 over the table, or over each group of `by`; 0 where constant.
 
-    The extremes are one row per group, and a group here is an entity type, so the joined side stays tiny.
+    The extremes are one row per group and a group is an entity type, of which the caller names a handful: they are
+    broadcast, so that a type that holds most entities does not end in one task.
     """
     ends = [f(F.log1p(c)).alias(f"_{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))]
     if by is None:
         row = df.agg(F.struct(*ends)).scalar()
         wide = df.withColumn("_ends", row)
-        low, high = (lambda c: F.col(f"_ends._lo_{c}")), (lambda c: F.col(f"_ends._hi_{c}"))
     else:
-        wide = df.join(df.groupBy(by).agg(F.struct(*ends).alias("_ends")), by)
-        low, high = (lambda c: F.col(f"_ends._lo_{c}")), (lambda c: F.col(f"_ends._hi_{c}"))
+        wide = df.join(F.broadcast(df.groupBy(by).agg(F.struct(*ends).alias("_ends"))), by)
+
+    def low(c: str) -> Column:
+        return F.col(f"_ends._lo_{c}")
+
+    def high(c: str) -> Column:
+        return F.col(f"_ends._hi_{c}")
+
     scaled = {
         f"norm_{c}": F.when(high(c) > low(c), (F.log1p(c) - low(c)) / (high(c) - low(c))).otherwise(0.0)
         for c in columns

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +37,11 @@ def lookup_join(
     hot = F.broadcast(hot_keys(facts, keys) if hot is None else hot)
     # salted by row content, so that a task run again after a lost executor puts every row where it was
     spread = F.pmod(F.xxhash64(*facts.columns), F.col("_salts")).cast("int")
-    left = facts.join(hot, keys, "left").withColumn("_salt", F.coalesce(spread, F.lit(0))).drop("_salts")
+    # a null key matches nothing, so its rows may go anywhere
+    no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    anywhere = F.pmod(F.xxhash64(*facts.columns), F.lit(HOT_KEYS)).cast("int")
+    salt = F.when(no_key, anywhere).otherwise(F.coalesce(spread, F.lit(0)))
+    left = facts.join(hot, keys, "left").withColumn("_salt", salt).drop("_salts")
     copies = F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)
     right = dim.join(hot, keys, "left").withColumn("_salt", F.explode(copies)).drop("_salts")
     return left.join(right, [*keys, "_salt"], how).drop("_salt")

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from zonecast.functions import scalars as S
-from zonecast.operators import cleaning, deployment, entities, evaluation, heatmap, impact, panel, reports, zones
+from zonecast.operators import (
+    attribution, cleaning, deployment, entities, evaluation, heatmap, impact, models, panel, reports, zones
+)
 from zonecast.operators.dbscan import distinct_points, split_usable
 from zonecast.plans.workspace import Workspace
 from zonecast.session import scratch_root
@@ -124,7 +126,7 @@ def score_bounds(w: Workspace) -> DataFrame:
 @query
 def mart_round_trip(w: Workspace) -> DataFrame:
     """Zones written as CSV and as Parquet, read back through the catalog and through the declared schema."""
-    root = f"{scratch_root(w.spark)}/marts-{abs(hash(w.sf_dir))}"
+    root = f"{scratch_root(w.spark)}/marts-{w.key}"
     marts.write_mart(w.zones, f"{root}/csv/hotspot_zones", "csv")
     marts.write_mart(w.zones, f"{root}/parquet/hotspot_zones")
     text = marts.read_csv(w.spark, f"{root}/csv/hotspot_zones", schemas.HOTSPOT_ZONES)
@@ -138,7 +140,7 @@ def mart_round_trip(w: Workspace) -> DataFrame:
 @query
 def panel_months(w: Workspace) -> DataFrame:
     """Rows per month of the panel after its partitioned write."""
-    path = f"{scratch_root(w.spark)}/panel-{abs(hash(w.sf_dir))}"
+    path = f"{scratch_root(w.spark)}/panel-{w.key}"
     marts.write_panel(w.features, path)
     return marts.read_table(w.spark, path).groupBy("panel_month").agg(
         F.count(F.lit(1)).alias("n"), F.sum("daily_violation_count").alias("violations")
@@ -518,3 +520,63 @@ def sorted_by_text_number(w: Workspace) -> DataFrame:
     """Ranking sorted by a column of numbers kept as text; the place in that order is part of the result."""
     text = w.ranking.select("entity_name", F.col("total_violations").cast("string").alias("total_text"), "global_rank")
     return impact.sort_by_any(text, "total_text", descending=True)
+
+
+# -- fitted models: no SQL twin ------------------------------------------------------------------------------------
+
+
+@query
+def model_predictions(w: Workspace) -> DataFrame:
+    return w.benchmark[0]
+
+
+@query
+def model_leaderboard(w: Workspace) -> DataFrame:
+    return w.benchmark[1]
+
+
+@query
+def feature_importance(w: Workspace) -> DataFrame:
+    long = models.importances(w.explained)
+    return models.importance_wide(long, [m.name for m in w.explained])
+
+
+@query
+def leading_features(w: Workspace) -> DataFrame:
+    return models.leading_features(models.importances(w.explained))
+
+
+@query
+def feature_descriptions(w: Workspace) -> DataFrame:
+    return models.described(models.importances(w.explained)).select("feature", "model_name", "description")
+
+
+@query
+def search_results(w: Workspace) -> DataFrame:
+    return w.tuning[0]
+
+
+@query
+def ensemble_results(w: Workspace) -> DataFrame:
+    """Tuned models and their two blends, best validation precision first."""
+    table = models.training_table(w.split_rows).filter("split <> 'train'")
+    preds = w.tuning[1][0].predictions(table)
+    for fitted in w.tuning[1][1:]:
+        preds = preds.unionByName(fitted.predictions(table))
+    return evaluation.leaderboard(evaluation.with_blends(preds))
+
+
+@query
+def model_recommendations(w: Workspace) -> DataFrame:
+    """Deployment table with a fitted model as the forecast of the last feature day."""
+    day = deployment.last_day(w.features)
+    kept = list(dict.fromkeys([*deployment.RECOMMENDATION_COLUMNS[:5], "lag_1_count", "hotspot_band", "dominant_time_bucket"]))
+    forecast = w.explained[0].forecast(models.assemble(day, kept))
+    return deployment.recommendations(forecast, w.n_zones)
+
+
+@query
+def attribution_summary(w: Workspace) -> DataFrame:
+    table = models.training_table(w.split_rows).filter("split = 'train'")
+    sample = attribution.sample_rows(table)
+    return attribution.mean_attribution(attribution.contributions(w.explained[0], sample), sample.count())

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonecast.operators import deployment, entities, evaluation, heatmap, panel, reports, zones
+from zonecast.operators import deployment, entities, evaluation, heatmap, models, panel, reports, tuning, zones
 from zonecast.operators.cleaning import prepare_records
 from zonecast.operators.dbscan import Clustering, dbscan, split_usable
 from zonecast.session import materialize, prepare
@@ -21,6 +22,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, sf_dir: str, eps_m: float = 100.0, min_samples: int = 10):
         self.spark = prepare(spark)
         self.sf_dir = sf_dir
+        self.key = hashlib.md5(sf_dir.encode()).hexdigest()[:12]
         self.eps_m, self.min_samples = eps_m, min_samples
 
     def table(self, name: str, columns: list[str] | None = None) -> DataFrame:
@@ -96,6 +98,32 @@ class Workspace:
     def summary(self) -> DataFrame:
         return materialize(reports.summary_report(self.labelled, self.zones), "summary")
 
+    # -- fitted models: the registered queries use fewer rounds than the presets, see models.PRESETS for the full ones
+
+    rounds = 8
+    depth = 4
+
+    @cached_property
+    def _overrides(self) -> dict[str, dict]:
+        forest = {"numTrees": self.rounds, "maxDepth": self.depth}
+        boost = {"maxIter": self.rounds, "maxDepth": self.depth}
+        return {n: forest if "numTrees" in p else boost for n, p in models.PRESETS.items() if n not in models.LINEAR}
+
+    @cached_property
+    def benchmark(self) -> tuple[DataFrame, DataFrame]:
+        return models.benchmark(self.split_rows, overrides=self._overrides)
+
+    @cached_property
+    def explained(self) -> list[models.Fitted]:
+        train = models.training_table(self.split_rows).filter("split = 'train'")
+        return [models.fit(n, train, self._overrides[n]) for n in ("LightGBM", "XGBoost", "RandomForest")]
+
+    @cached_property
+    def tuning(self) -> tuple[DataFrame, list[models.Fitted]]:
+        small = {"maxIter": (4, 8, "int"), "stepSize": (0.05, 0.2, "log"), "maxDepth": (3, 5, "int"),
+                 "minInstancesPerNode": (5, 20, "int")}
+        return tuning.tuning_results(self.split_rows, n_trials=2, space=small)
+
 
 _OPEN: dict[tuple[str, str], Workspace] = {}
 

@@ -42,8 +42,8 @@ def scratch_root(spark: SparkSession) -> str:
     if not root:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-        root = tempfile.mkdtemp(prefix="zonecast-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="zonecast-"))
+        root = sc.getCheckpointDir()
     return f"{root.rstrip('/')}/zonecast-{sc.applicationId}"
 
 
