@@ -38,32 +38,37 @@ def usable_coordinate(lat: Column, lon: Column) -> Column:
     return F.coalesce(lat.between(-90.0, 90.0) & lon.between(-180.0, 180.0), F.lit(False))
 
 
-def box_distance_bounds(a: dict[str, Column], b: dict[str, Column]) -> tuple[Column, Column]:
-    """Lower and upper bound of the distance between any point of box `a` and any point of box `b`.
+def haversin_of(metres: float) -> float:
+    """Squared half-chord of a distance: comparing these needs no square root and no arc function."""
+    return math.sin(metres_to_radians(metres) / 2) ** 2
 
-    A box has `lat_lo, lat_hi, lon_lo, lon_hi` in degrees. Longitudes are compared on the circle.
-    """
-    lat_gap = F.greatest(F.lit(0.0), a["lat_lo"] - b["lat_hi"], b["lat_lo"] - a["lat_hi"])
-    lat_span = F.greatest(a["lat_hi"] - b["lat_lo"], b["lat_hi"] - a["lat_lo"])
-    halves = (a["lon_hi"] - a["lon_lo"] + b["lon_hi"] - b["lon_lo"]) / 2
-    apart = F.abs((a["lon_lo"] + a["lon_hi"] - b["lon_lo"] - b["lon_hi"]) / 2)
-    apart = F.least(apart, 360.0 - apart)
-    lon_gap = F.greatest(F.lit(0.0), apart - halves)
-    lon_span = F.least(F.lit(180.0), apart + halves)
 
-    def cos_least(box):
-        return F.least(F.cos(F.radians(box["lat_lo"])), F.cos(F.radians(box["lat_hi"])))
+BOX = ["south", "north", "west", "east", "cos_least", "cos_most"]
 
-    def cos_most(box):
-        straddles = (box["lat_lo"] <= 0) & (box["lat_hi"] >= 0)
-        return F.when(straddles, 1.0).otherwise(
-            F.greatest(F.cos(F.radians(box["lat_lo"])), F.cos(F.radians(box["lat_hi"])))
-        )
 
-    low = _haversin(F.radians(lat_gap)) + cos_least(a) * cos_least(b) * _haversin(F.radians(lon_gap))
-    high = _haversin(F.radians(lat_span)) + cos_most(a) * cos_most(b) * _haversin(F.radians(lon_span))
-    one = F.lit(1.0)
-    return _arc_m(F.least(one, low)), _arc_m(F.least(one, high))
+def box_columns(lat_lo: Column, lat_hi: Column, lon_lo: Column, lon_hi: Column) -> list[Column]:
+    """A box of points in radians with the range of the cosine of its latitudes, worked out once per box."""
+    south, north = F.radians(lat_lo), F.radians(lat_hi)
+    most = F.when((lat_lo <= 0) & (lat_hi >= 0), 1.0).otherwise(F.greatest(F.cos(south), F.cos(north)))
+    values = [south, north, F.radians(lon_lo), F.radians(lon_hi), F.least(F.cos(south), F.cos(north)), most]
+    return [value.alias(name) for value, name in zip(values, BOX)]
+
+
+def box_bounds(a: dict[str, Column], b: dict[str, Column]) -> tuple[Column, Column]:
+    """Lower and upper bound of the squared half-chord between any point of box `a` and any point of box `b`.
+
+    Both bounds are the exact value when the boxes are single points. Longitudes are compared on the circle.
+    """
+    lat_gap = F.greatest(F.lit(0.0), a["south"] - b["north"], b["south"] - a["north"])
+    lat_span = F.greatest(a["north"] - b["south"], b["north"] - a["south"])
+    halves = (a["east"] - a["west"] + b["east"] - b["west"]) / 2
+    apart = F.abs((a["west"] + a["east"] - b["west"] - b["east"]) / 2)
+    apart = F.least(apart, 2 * math.pi - apart)
+    lon_gap = F.greatest(F.lit(0.0), apart - halves)
+    lon_span = F.least(F.lit(math.pi), apart + halves)
+    low = _haversin(lat_gap) + a["cos_least"] * b["cos_least"] * _haversin(lon_gap)
+    high = _haversin(lat_span) + a["cos_most"] * b["cos_most"] * _haversin(lon_span)
+    return low, high
 
 
 @dataclass(frozen=True)

@@ -1,4 +1,4 @@
-"""Connected components by pointer hooking and shortcutting over joins."""
+"""Connected components by repeated contraction over joins."""
 
 from __future__ import annotations
 
@@ -9,38 +9,54 @@ from zonecast.operators.skew import lookup_join
 from zonecast.session import materialize
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame, bounded_degree: bool = True) -> DataFrame:
     """Label each node (`id`, long) with the smallest id of its component: returns `id, component`.
 
-    `edges(u, v)` holds every edge in both directions. Each node points to a smaller node of its component; a round
-    lowers a node's own pointer and the pointer of the node it points to, to the smallest grandparent among its
-    neighbours, then skips one level. The number of rounds grows with the logarithm of the path length, and every step
-    is a join on a unique side or a partial `min`, so a giant component stays spread over all tasks.
+    `edges(u, v)` holds every edge in both directions. In a round each node hooks to its smallest neighbour if that is
+    smaller, hooks are followed to their roots, and the edges are rewritten between roots; edges inside one tree
+    vanish. So every round works on a smaller graph, and the trees of all rounds are chained together at the end.
+
+    A contracted node may collect a large share of the edges, so edges are relabelled by a join that splits hot nodes.
+    In the first round that is left out if the caller knows that degrees are bounded.
     """
-    if start is None:
-        nearest = edges.groupBy("u").agg(F.min("v").alias("_near")).withColumnRenamed("u", "id")
-        start = nodes.select("id").join(nearest, "id", "left").select("id", F.least("id", "_near").alias("parent"))
-    else:
-        start = start.select("id", F.col("component").alias("parent"))
-    table = materialize(start, "pointers")
-    n_nodes = table.count()
+    hooks = []
+    n_edges = edges.count()
+    while n_edges:
+        near = edges.groupBy("u").agg(F.min("v").alias("v"))
+        near = materialize(near.select(F.col("u").alias("id"), F.least("u", "v").alias("parent")), "hooks")
+        n = near.count()
+        far = _roots(near, n)
+        hooks.append((far, n))
+        n_rows = 0 if bounded_degree and len(hooks) == 1 else n_edges
+        for end in ("u", "v"):
+            names = far.select(F.col("id").alias(end), F.col("parent").alias("_to"))
+            edges = lookup_join(edges, names, [end], "inner", n_rows).drop(end).withColumnRenamed("_to", end)
+        edges = materialize(edges.filter("u <> v").distinct(), "contracted")
+        n_edges = edges.count()
+    labels = nodes.select("id", F.col("id").alias("component")).limit(0)
+    size = 0
+    for far, n in reversed(hooks):
+        start = far.select("id", F.col("parent").alias("component"))
+        labels, size = materialize(_chain(start, labels, n), "chained") if size else start, n
+    alone = nodes.select("id").join(labels, "id", "left")
+    return materialize(alone.select("id", F.coalesce("component", "id").alias("component")), "components")
+
+
+def _roots(trees: DataFrame, n: int) -> DataFrame:
+    """Replace each parent by the root above it, tripling the distance looked ahead in every step."""
     while True:
-        top = table.select(F.col("id").alias("parent"), F.col("parent").alias("_grand"))
-        state = lookup_join(table.select("id", "parent"), top, ["parent"], "inner", n_nodes)
-        around = (
-            edges.join(state.select(F.col("id").alias("v"), "_grand"), "v")
-            .groupBy("u")
-            .agg(F.min("_grand").alias("_near"))
-            .withColumnRenamed("u", "id")
-        )
-        state = state.join(around, "id", "left").withColumn("_low", F.least("_grand", "_near"))
-        own = state.select("id", F.least("parent", "_low").alias("parent"), F.col("parent").alias("_old"))
-        hooked = state.select(
-            F.col("parent").alias("id"), F.col("_low").alias("parent"), F.lit(None).cast("long").alias("_old")
-        )
-        table = materialize(
-            own.unionByName(hooked).groupBy("id").agg(F.min("parent").alias("parent"), F.min("_old").alias("_old")),
-            "pointers",
-        )
-        if table.filter("parent <> _old").isEmpty():
-            return table.select("id", F.col("parent").alias("component"))
+        step = trees.select(F.col("id").alias("_at"), F.col("parent").alias("_next"))
+        second = lookup_join(trees.withColumnRenamed("parent", "_at"), step, ["_at"], "inner", n)
+        second = second.select("id", F.col("_next").alias("_at"))
+        third = lookup_join(second, step, ["_at"], "inner", n)
+        trees = materialize(third.select("id", F.col("_next").alias("parent"), (F.col("_at") != F.col("_next")).alias("_moved")), "roots")
+        if trees.filter("_moved").isEmpty():
+            return trees.drop("_moved")
+        trees = trees.drop("_moved")
+
+
+def _chain(start: DataFrame, later: DataFrame, n: int) -> DataFrame:
+    """Carry labels through the hooks of the following rounds; nodes that left the graph keep theirs."""
+    step = later.select(F.col("id").alias("component"), F.col("component").alias("_next"))
+    joined = lookup_join(start, step, ["component"], "left", n)
+    return joined.select("id", F.coalesce("_next", "component").alias("component"))

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from zonecast.functions.geo import CellGrid, box_distance_bounds, haversine_m, usable_coordinate
+from zonecast.functions.geo import BOX, CellGrid, box_bounds, box_columns, haversin_of, haversine_m, usable_coordinate
 from zonecast.operators.components import connected_components
 from zonecast.operators.ordering import with_position
 from zonecast.operators.skew import hot_keys, lookup_join
@@ -110,17 +110,19 @@ def dbscan(
     core = nodes.filter("core").select("id")
 
     loose = (
-        reached.filter("u <> v").select("u", "v")
+        reached.filter("u <> v").select("u", "v", "v_dense")
         .join(core.withColumnRenamed("id", "u"), "u", "left_semi")
         .join(core.withColumnRenamed("id", "v"), "v", "left_semi")
     )
+    singles = loose.filter("NOT v_dense").select("u", "v")  # these come in both directions already
+    loose = loose.filter("v_dense").select("u", "v")
     crowded = pairs.filter("u_dense AND v_dense")
     unsure = crowded.filter("NOT inside").select("u", "v", (F.col("u_n") * F.col("v_n")).alias("_pairs"))
     few = unsure.filter(F.col("_pairs") <= direct_pairs).select("u", "v")
     small = members.filter(F.col("n") <= direct_pairs).select("id", "lat", "lon")
     near = _touching(few, small, ["u"], small, ["v"], eps_m, n_points)
     links = loose.unionByName(crowded.filter("inside").select("u", "v")).unionByName(near)
-    edges = materialize(_both_ways(links), "edges")
+    edges = materialize(_both_ways(links).unionByName(singles), "edges")
     labels = connected_components(core, edges)
 
     # crowded pairs still undecided matter only if nothing else has joined the two cells
@@ -133,9 +135,7 @@ def dbscan(
     )
     rest = materialize(rest, "undecided")
     if not rest.isEmpty():
-        more = _refined_links(rest, members, grid, direct_pairs, n_points)
-        edges = materialize(_both_ways(edges.unionByName(more)), "edges")
-        labels = connected_components(core, edges, labels)
+        labels = _merge(labels, _refined_links(rest, members, grid, direct_pairs, n_points), n_nodes)
 
     # a border point takes the lowest label among the core nodes that reach it
     border = (
@@ -163,15 +163,14 @@ def _nodes(points: DataFrame, min_samples: int) -> tuple[DataFrame, int]:
         "cells",
     )
     dense = cells.filter(F.col("weight") >= min_samples).select(
-        "row", "col", F.lit(True).alias("dense"), "weight", "n", "lat_lo", "lat_hi", "lon_lo", "lon_hi",
-        F.col("first.lat").alias("lat"), F.col("first.lon").alias("lon"),
+        "row", "col", F.lit(True).alias("dense"), "weight", "n", F.col("first.lat").alias("lat"),
+        F.col("first.lon").alias("lon"), *box_columns(*[F.col(c) for c in ("lat_lo", "lat_hi", "lon_lo", "lon_hi")]),
     )
     # fewer than min_samples points per cell: the cell list is the small, evenly spread side
     open_cells = cells.filter(F.col("weight") < min_samples).select("row", "col")
     single = points.join(open_cells, ["row", "col"], "left_semi").select(
-        "row", "col", F.lit(False).alias("dense"), "weight", F.lit(1).cast("long").alias("n"),
-        F.col("lat").alias("lat_lo"), F.col("lat").alias("lat_hi"),
-        F.col("lon").alias("lon_lo"), F.col("lon").alias("lon_hi"), "lat", "lon",
+        "row", "col", F.lit(False).alias("dense"), "weight", F.lit(1).cast("long").alias("n"), "lat", "lon",
+        *box_columns(F.col("lat"), F.col("lat"), F.col("lon"), F.col("lon")),
     )
     size = F.sum(F.when(F.col("weight") >= min_samples, 1).otherwise(F.col("n")))
     n_nodes = cells.agg(size).first()[0] or 0
@@ -180,25 +179,23 @@ def _nodes(points: DataFrame, min_samples: int) -> tuple[DataFrame, int]:
 
 
 def _box(prefix: str) -> dict[str, Column]:
-    return {side: F.col(f"{prefix}_{side}") for side in ("lat_lo", "lat_hi", "lon_lo", "lon_hi")}
+    return {part: F.col(f"{prefix}_{part}") for part in BOX}
 
 
 def _node_pairs(nodes: DataFrame, grid: CellGrid) -> DataFrame:
     """Pairs of nodes that may touch: (single, any) in both directions, itself included, and (dense, dense) once."""
-    fields = ["dense", "n", "weight", "lat_lo", "lat_hi", "lon_lo", "lon_hi"]
+    fields = ["dense", "n", "weight", "lat", "lon", *BOX]
     left = nodes.select("row", "col", F.col("id").alias("u"), *[F.col(c).alias(f"u_{c}") for c in fields])
-    left = grid.explode_neighbours(left)
     right = nodes.select("row", "col", F.col("id").alias("v"), *[F.col(c).alias(f"v_{c}") for c in fields])
-    pairs = left.join(right, ["row", "col"]).filter(~F.col("u_dense") | (F.col("v_dense") & (F.col("u") < F.col("v"))))
-    low, high = box_distance_bounds(_box("u"), _box("v"))
-    apart = haversine_m(F.col("u_lat_lo"), F.col("u_lon_lo"), F.col("v_lat_lo"), F.col("v_lon_lo"))
-    single = ~F.col("u_dense") & ~F.col("v_dense")
-    pairs = pairs.withColumn("_low", F.when(single, apart).otherwise(low * (1 - _SURE)))
-    pairs = pairs.withColumn("_high", F.when(single, apart).otherwise(high * (1 + _SURE)))
-    return pairs.filter(F.col("_low") <= grid.eps_m).select(
-        "u", "v", "u_dense", "v_dense", "u_n", "v_n", "v_weight",
-        F.col("u_lat_lo").alias("u_lat"), F.col("u_lon_lo").alias("u_lon"),
-        (F.col("_high") <= grid.eps_m).alias("inside"),
+    pairs = grid.explode_neighbours(left).join(right, ["row", "col"])
+    pairs = pairs.filter(~F.col("u_dense") | (F.col("v_dense") & (F.col("u") < F.col("v"))))
+    low, high = box_bounds(_box("u"), _box("v"))
+    limit = haversin_of(grid.eps_m)
+    singles = ~F.col("u_dense") & ~F.col("v_dense")
+    inside = F.when(singles, True).otherwise(high * (1 + _SURE) <= limit)
+    slack = F.when(singles, 1.0).otherwise(1 - _SURE)
+    return pairs.filter(low * slack <= limit).select(
+        "u", "v", "u_dense", "v_dense", "u_n", "v_n", "v_weight", "u_lat", "u_lon", inside.alias("inside")
     )
 
 
@@ -213,9 +210,9 @@ def _members(points: DataFrame, pairs: DataFrame, nodes: DataFrame, n_points: in
 
 
 def _reached(pairs: DataFrame, members: DataFrame, eps_m: float, n_points: int) -> DataFrame:
-    """`u, v, w`: weight of node v that lies within eps of the single point u."""
+    """`u, v, v_dense, w`: weight of node v that lies within eps of the single point u."""
     single = pairs.filter("NOT u_dense")
-    whole = single.filter("inside").select("u", "v", F.col("v_weight").alias("w"))
+    whole = single.filter("inside").select("u", "v", "v_dense", F.col("v_weight").alias("w"))
     part = single.filter("NOT inside").select("u", F.col("v").alias("id"), "u_lat", "u_lon")
     near = haversine_m(F.col("u_lat"), F.col("u_lon"), F.col("lat"), F.col("lon")) <= eps_m
     counted = (
@@ -223,6 +220,7 @@ def _reached(pairs: DataFrame, members: DataFrame, eps_m: float, n_points: int)
         .filter(near)
         .groupBy("u", F.col("id").alias("v"))
         .agg(F.sum("weight").alias("w"))
+        .withColumn("v_dense", F.lit(True))
     )
     return whole.unionByName(counted)
 
@@ -244,8 +242,21 @@ def _touching(
     return with_b.filter(near).select("u", "v").distinct()
 
 
+def _merge(labels: DataFrame, links: DataFrame, n_nodes: int) -> DataFrame:
+    """Labels after joining the components that `links` connect. Only the components are clustered again."""
+    of_u = labels.select(F.col("id").alias("u"), F.col("component").alias("_cu"))
+    of_v = labels.select(F.col("id").alias("v"), F.col("component").alias("_cv"))
+    between = links.join(of_u, "u").join(of_v, "v").select(F.col("_cu").alias("u"), F.col("_cv").alias("v"))
+    between = materialize(_both_ways(between).distinct(), "component_edges")
+    ends = between.select(F.col("u").alias("id")).distinct()
+    joined = connected_components(ends, between, bounded_degree=False)
+    new = joined.select(F.col("id").alias("component"), F.col("component").alias("_to"))
+    moved = lookup_join(labels, new, ["component"], "left", n_nodes)
+    return materialize(moved.select("id", F.coalesce("_to", "component").alias("component")), "merged")
+
+
 def _both_ways(links: DataFrame) -> DataFrame:
-    return links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
+    return links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
 def _refined_links(
@@ -260,6 +271,7 @@ def _refined_links(
     involved = materialize(members.join(ids, "id", "left_semi"), "involved")
     down = F.col("lat") / grid.height - F.col("row")
     across = F.col("lon") / grid.width(F.col("row")) - F.col("col")
+    limit = haversin_of(grid.eps_m)
     zero = F.lit(0).cast("long")
     todo = pairs.select("u", "v", *[zero.alias(c) for c in ("u_i", "u_j", "v_i", "v_j")])
     found = []
@@ -270,8 +282,7 @@ def _refined_links(
         )
         boxes = materialize(
             placed.groupBy("id", "i", "j").agg(
-                F.count(F.lit(1)).alias("n"), F.min("lat").alias("lat_lo"), F.max("lat").alias("lat_hi"),
-                F.min("lon").alias("lon_lo"), F.max("lon").alias("lon_hi"),
+                F.count(F.lit(1)).alias("n"), *box_columns(F.min("lat"), F.max("lat"), F.min("lon"), F.max("lon"))
             ),
             "boxes",
         )
@@ -279,12 +290,12 @@ def _refined_links(
             quarter = boxes.select(
                 F.col("id").alias(side), F.shiftright("i", 1).alias(f"{side}_i"), F.shiftright("j", 1).alias(f"{side}_j"),
                 *[F.col(c).alias(f"{side}_{c}_") for c in ("i", "j")],
-                *[F.col(c).alias(f"{side}_{c}") for c in ("n", "lat_lo", "lat_hi", "lon_lo", "lon_hi")],
+                *[F.col(c).alias(f"{side}_{c}") for c in ("n", *BOX)],
             )
             todo = todo.join(quarter, [side, f"{side}_i", f"{side}_j"]).drop(f"{side}_i", f"{side}_j")
             todo = todo.withColumnsRenamed({f"{side}_i_": f"{side}_i", f"{side}_j_": f"{side}_j"})
-        low, high = box_distance_bounds(_box("u"), _box("v"))
-        todo = todo.withColumn("_inside", high * (1 + _SURE) <= grid.eps_m).filter(low * (1 - _SURE) <= grid.eps_m)
+        low, high = box_bounds(_box("u"), _box("v"))
+        todo = todo.withColumn("_inside", high * (1 + _SURE) <= limit).filter(low * (1 - _SURE) <= limit)
         keys = ["u", "v", "u_i", "u_j", "v_i", "v_j"]
         todo = materialize(todo.select(*keys, (F.col("u_n") * F.col("v_n")).alias("_pairs"), "_inside"), "quarters")
         sure = todo.filter("_inside").select("u", "v").distinct()
