@@ -45,9 +45,9 @@ def main() -> None:
         "stage_recommendations": lambda: compute(w.recs),
         "panel_lineitem": lambda: compute(panel.time_features(lineitem_panel(w))),
         **{name: (lambda q=QUERIES[name]: compute(q(w))) for name in REPORTS},
-        "fit_poisson": lambda: models.fit("Poisson Regressor", models.training_table(w.split_rows).filter("split = 'train'")),
+        "fit_poisson": lambda: models.fit("Poisson Regressor", w.training.filter("split = 'train'")),
         "fit_boosted_20_rounds": lambda: models.fit(
-            "LightGBM", models.training_table(w.split_rows).filter("split = 'train'"), {"maxIter": 20, "maxDepth": 5}
+            "LightGBM", w.training.filter("split = 'train'"), {"maxIter": 20, "maxDepth": 5}
         ),
     }
     compute(spark.range(1000))

@@ -167,6 +167,9 @@ SELECTS: dict[str, str] = {
     "top_hotspots": f"SELECT zone_id, zone_name, {_fixes('hotspot_score peak_share')}, hotspot_band FROM zones WHERE ord<=10",
     "leading_names": """SELECT string_agg(zone_name, ', ' ORDER BY ord) AS names FROM (SELECT * FROM zones
       WHERE hotspot_band='Medium' ORDER BY ord LIMIT 3)""",
+    "map_summary": f"""SELECT count(*) AS zones, count(*) FILTER (hotspot_band='Very High') AS very_high,
+      count(DISTINCT top_police_station) FILTER (top_police_station<>'') AS stations,
+      (SELECT string_split(zone_name,' / ')[1] FROM zones WHERE ord=1) AS worst_zone, {fix('max(hotspot_score)')} AS worst_score FROM zones""",
     "severity_distribution": f"""SELECT {big('o')} AS band_order, b AS hotspot_band, count(zone_id) AS zones,
       {fix('count(zone_id)/(SELECT count(*) FROM zones)*100')} AS share_percent
       FROM (VALUES (0,'Very High'),(1,'High'),(2,'Medium'),(3,'Low')) v(o,b) LEFT JOIN zones ON hotspot_band=b GROUP BY o,b""",

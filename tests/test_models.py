@@ -12,7 +12,7 @@ from zonecast.plans.workspace import workspace
 
 @pytest.fixture(scope="module")
 def table(spark):
-    return models.training_table(workspace(spark, SF_DIR).split_rows)
+    return workspace(spark, SF_DIR).training
 
 
 @pytest.fixture(scope="module")

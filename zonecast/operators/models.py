@@ -102,14 +102,15 @@ def fit(name: str, train: DataFrame, params: dict | None = None, variant: str =
 
 
 def benchmark(
-    split_rows: DataFrame, families: list[str] | None = None, overrides: dict[str, dict] | None = None
+    split_rows: DataFrame, table: DataFrame, families: list[str] | None = None,
+    overrides: dict[str, dict] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Fit every family, raw and log1p, and return the long forecasts and the leaderboard.
 
     Linear families model counts through their link and have no log1p variant; both baselines have both names but the
     same forecast. Forecasts of one model are written as one table, which is also what inference time measures.
+    `table` is the `training_table` of `split_rows`.
     """
-    table = training_table(split_rows)
     train, held_out = table.filter("split = 'train'"), table.filter("split <> 'train'")
     base = materialize(baseline_predictions(split_rows), "baseline")
     parts, timings = [base, base.withColumn("variant", F.lit("log1p"))], []
@@ -128,9 +129,9 @@ def benchmark(
     return preds, board.na.fill(zero).orderBy(F.desc("val_p10"), "model_name", "variant")
 
 
-def refit(tuning: list[tuple[str, str]], split_rows: DataFrame) -> list[Fitted]:
+def refit(tuning: list[tuple[str, str]], table: DataFrame) -> list[Fitted]:
     """Fit each tuned model again from its stored JSON parameters."""
-    train = training_table(split_rows).filter("split = 'train'")
+    train = table.filter("split = 'train'")
     return [fit(name, train, json.loads(params)) for name, params in tuning]
 
 

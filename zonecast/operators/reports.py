@@ -39,6 +39,19 @@ def top_hotspots(zones: DataFrame, k: int = 10) -> DataFrame:
     return zones.orderBy(F.desc("hotspot_score"), F.desc("total_violations"), "zone_id").limit(k)
 
 
+def map_summary(zones: DataFrame) -> DataFrame:
+    """Zones on the map, critical ones, distinct stations and the worst zone."""
+    worst = F.max_by(F.struct("zone_name", "hotspot_score"), F.struct("hotspot_score", "total_violations", "zone_id"))
+    return zones.agg(
+        F.count(F.lit(1)).alias("zones"), F.count_if(F.col("hotspot_band") == "Very High").alias("very_high"),
+        F.countDistinct(F.when(F.col("top_police_station") != "", F.col("top_police_station"))).alias("stations"),
+        worst.alias("w"),
+    ).select(
+        "zones", "very_high", "stations", S.head_of_name(F.col("w.zone_name")).alias("worst_zone"),
+        F.col("w.hotspot_score").alias("worst_score"),
+    )
+
+
 def summary_report(labelled: DataFrame, zones: DataFrame) -> DataFrame:
     """Fourteen named metrics as text rows."""
     inside = F.col("zone_id") != NOISE

@@ -103,14 +103,13 @@ def search(
 
 
 def tuning_results(
-    split_rows: DataFrame, families: tuple[str, ...] = models.TUNED, **options
+    table: DataFrame, families: tuple[str, ...] = models.TUNED, **options
 ) -> tuple[DataFrame, list[models.Fitted]]:
     """Search each family, fit the best parameters on all training rows, and report both kinds of scores.
 
     Parameters are stored as JSON text; `sources.marts.parse_parameters` reads them back.
     """
-    spark = split_rows.sparkSession
-    table = models.training_table(split_rows)
+    spark = table.sparkSession
     best = [search(table, family, **options)[0] for family in families]
     train, held_out = table.filter("split = 'train'"), table.filter("split <> 'train'")
     fitted = [models.fit(name, train, params) for name, params, _ in best]

@@ -313,6 +313,11 @@ def leading_names(w: Workspace) -> DataFrame:
     return reports.leading_names(w.zones, "Medium")
 
 
+@query
+def map_summary(w: Workspace) -> DataFrame:
+    return reports.map_summary(w.zones)
+
+
 @query
 def severity_distribution(w: Workspace) -> DataFrame:
     return reports.severity_distribution(w.zones)
@@ -559,7 +564,7 @@ def search_results(w: Workspace) -> DataFrame:
 @query
 def ensemble_results(w: Workspace) -> DataFrame:
     """Tuned models and their two blends, best validation precision first."""
-    table = models.training_table(w.split_rows).filter("split <> 'train'")
+    table = w.training.filter("split <> 'train'")
     preds = w.tuning[1][0].predictions(table)
     for fitted in w.tuning[1][1:]:
         preds = preds.unionByName(fitted.predictions(table))
@@ -577,6 +582,5 @@ def model_recommendations(w: Workspace) -> DataFrame:
 
 @query
 def attribution_summary(w: Workspace) -> DataFrame:
-    table = models.training_table(w.split_rows).filter("split = 'train'")
-    sample = attribution.sample_rows(table)
+    sample = attribution.sample_rows(w.training.filter("split = 'train'"))
     return attribution.mean_attribution(attribution.contributions(w.explained[0], sample), sample.count())

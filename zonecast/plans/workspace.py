@@ -19,9 +19,14 @@ from zonecast.sources.records import records_from_events
 class Workspace:
     """Records to recommendations. Properties are stages; each large one is a table in the shared folder."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, eps_m: float = 100.0, min_samples: int = 10):
+    def __init__(
+        self, spark: SparkSession, sf_dir: str, eps_m: float = 100.0, min_samples: int = 10,
+        source: DataFrame | None = None,
+    ):
+        """`sf_dir` holds the generic tables; `source` is a record table to use instead of the one built from events."""
         self.spark = prepare(spark)
         self.sf_dir = sf_dir
+        self.source = source
         self.key = hashlib.md5(sf_dir.encode()).hexdigest()[:12]
         self.eps_m, self.min_samples = eps_m, min_samples
 
@@ -30,8 +35,10 @@ class Workspace:
 
     @cached_property
     def records(self) -> DataFrame:
-        source = records_from_events(self.spark, self.table("events"))
-        return prepare_records(materialize(source, "records"))
+        if self.source is not None:
+            return prepare_records(self.source)
+        derived = records_from_events(self.spark, self.table("events"))
+        return prepare_records(materialize(derived, "records"))
 
     @cached_property
     def clustering(self) -> Clustering:
@@ -111,18 +118,22 @@ class Workspace:
 
     @cached_property
     def benchmark(self) -> tuple[DataFrame, DataFrame]:
-        return models.benchmark(self.split_rows, overrides=self._overrides)
+        return models.benchmark(self.split_rows, self.training, overrides=self._overrides)
+
+    @cached_property
+    def training(self) -> DataFrame:
+        return models.training_table(self.split_rows)
 
     @cached_property
     def explained(self) -> list[models.Fitted]:
-        train = models.training_table(self.split_rows).filter("split = 'train'")
+        train = self.training.filter("split = 'train'")
         return [models.fit(n, train, self._overrides[n]) for n in ("LightGBM", "XGBoost", "RandomForest")]
 
     @cached_property
     def tuning(self) -> tuple[DataFrame, list[models.Fitted]]:
         small = {"maxIter": (4, 8, "int"), "stepSize": (0.05, 0.2, "log"), "maxDepth": (3, 5, "int"),
                  "minInstancesPerNode": (5, 20, "int")}
-        return tuning.tuning_results(self.split_rows, n_trials=2, space=small)
+        return tuning.tuning_results(self.training, n_trials=2, space=small)
 
 
 _OPEN: dict[tuple[str, str], Workspace] = {}

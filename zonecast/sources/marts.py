@@ -18,10 +18,13 @@ class MissingInput(FileNotFoundError):
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """Headered CSV; with no schema the types are inferred, blank rows dropped and column names normalised."""
     reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
-    if schema is not None:
-        # columns are found by name, so a file may hold more columns or another order
-        return reader.option("enforceSchema", False).schema(schema).csv(path)
-    return normalise_columns(drop_blank_rows(reader.option("inferSchema", True).csv(path)))
+    try:
+        if schema is not None:
+            # the header is checked against the schema instead of being ignored
+            return reader.option("enforceSchema", False).schema(schema).csv(path)
+        return normalise_columns(drop_blank_rows(reader.option("inferSchema", True).csv(path)))
+    except AnalysisException as e:
+        raise MissingInput(f"no CSV table at {path}") from e
 
 
 def read_table(spark: SparkSession, path: str, columns: list[str] | None = None, hint: str = "") -> DataFrame:
@@ -38,8 +41,8 @@ def read_or_default(
 ) -> DataFrame:
     """The mart, or `default` rows (none if not given) where it does not exist."""
     try:
-        return spark.read.parquet(path) if fmt == "parquet" else read_csv(spark, path, schema)
-    except AnalysisException:
+        return read_table(spark, path) if fmt == "parquet" else read_csv(spark, path, schema)
+    except MissingInput:
         return spark.createDataFrame(default or [], schema)
 
 
