@@ -115,7 +115,8 @@ SELECTS: dict[str, str] = {
     "order_days_since_start": f"""SELECT o_orderkey, {fix("(epoch_us(o_orderdate)-min(epoch_us(o_orderdate)) OVER ())/86400000000")}
       AS days_since_start FROM orders""",
     "normalised_keys": "SELECT s_suppkey, upper(trim(s_name)) AS zone_key FROM supplier",
-    "coordinate_quarantine": "SELECT CASE WHEN id%7=0 THEN 'quarantined' ELSE 'usable' END AS side, count(*) AS n FROM rec GROUP BY 1",
+    "coordinate_quarantine": """SELECT CASE WHEN location_first_segment IS NULL THEN 'quarantined' ELSE 'usable' END AS side,
+      count(*) AS n FROM rec GROUP BY 1""",
     "point_weights": f"SELECT {_fixes('lat lon')}, w AS weight FROM pts",
     "record_conservation": """SELECT count(*) FILTER (zone_id<>'ZONE_NOISE') AS clustered, count(*) FILTER (zone_id='ZONE_NOISE') AS noise,
       CAST(0 AS BIGINT) AS quarantined, (SELECT count(*) FROM rec) AS input FROM lab""",

@@ -13,7 +13,7 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 def spark():
     from zonecast.session import local_session
 
-    session = local_session("tests", cpus="4", memory="6g", partitions=4)
+    session = local_session("tests", cpus="6", memory="6g", partitions=2)
     yield session
     session.stop()
 

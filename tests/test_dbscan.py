@@ -114,6 +114,11 @@ def test_unusable_coordinates_are_quarantined(spark):
     assert usable.count() == 1 and rest.count() == 5
 
 
+def test_no_records(spark):
+    result = dbscan(spark.createDataFrame([], "latitude double, longitude double"))
+    assert result.n_nodes == 0 and result.point_labels().count() == 0
+
+
 def test_single_heavy_point_is_a_zone(spark):
     result, _ = check(spark, [(12.0, 77.0)] * 10 + [(13.0, 77.0)] * 9, 100.0, 10)
     assert result.nodes.filter("component IS NOT NULL").count() == 1

@@ -4,7 +4,7 @@ import pytest
 
 from conftest import SF_DIR
 from zonecast.operators import models
-from zonecast.plans.jobs import Pipeline, Settings, read_records
+from zonecast.plans.jobs import BatchJobs, Settings, read_records
 from zonecast.sources import schemas
 from zonecast.sources.marts import MissingInput, load_catalog
 from zonecast.sources.records import records_from_events
@@ -26,7 +26,7 @@ def test_all_jobs(spark, tmp_path):
     marts = str(tmp_path / "marts")
     settings = Settings(n_trials=1, families=("Poisson Regressor", "RandomForest"), tuned=("LightGBM", "XGBoost"),
                         overrides=SMALL, space=SPACE, sample=20)
-    pipe = Pipeline(spark, read_records(spark, record_path(spark, tmp_path, "parquet")), marts, settings)
+    pipe = BatchJobs(spark, read_records(spark, record_path(spark, tmp_path, "parquet")), marts, settings)
     with pytest.raises(MissingInput, match="panel job"):
         pipe.run("benchmark")
     pipe.run("all")
@@ -41,7 +41,7 @@ def test_all_jobs(spark, tmp_path):
 
 def test_csv_in_and_out(spark, tmp_path):
     marts = str(tmp_path / "marts")
-    pipe = Pipeline(spark, read_records(spark, record_path(spark, tmp_path, "csv")), marts, Settings(fmt="csv"))
+    pipe = BatchJobs(spark, read_records(spark, record_path(spark, tmp_path, "csv")), marts, Settings(fmt="csv"))
     pipe.run("hotspots")
     pipe.run("heat")
     loaded = load_catalog(spark, marts, "csv")

@@ -29,12 +29,12 @@ def test_hour_mode_orders_numbers(spark):
 
 def test_zone_names(spark):
     rows = [
-        ("BTP051 - Safina Plaza Junction", "Safina", "Central"), ("BTP040 - Elite Junction", "5th Main", "Upparpet"),
-        ("No Junction", "KR Market", "City"), ("junction Junction", "X", "S"),
+        ("BTP051 - Mill Plaza Junction", "Mill", "Central"), ("BTP040 - Oak Junction", "5th Row", "West"),
+        ("No Junction", "Fish Market", "City"), ("junction Junction", "X", "S"),
     ]
     df = spark.createDataFrame(rows, "j string, g string, s string")
     got = [r[0] for r in df.select(S.zone_name(F.col("j"), F.col("g"), F.col("s"))).collect()]
-    assert got == ["Safina Plaza / Central Zone", "5th Main / Elite Zone", "KR Market / City Zone", "X / junction Zone"]
+    assert got == ["Mill Plaza / Central Zone", "5th Row / Oak Zone", "Fish Market / City Zone", "X / junction Zone"]
 
 
 def test_rounding_and_labels(spark):

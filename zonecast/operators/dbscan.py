@@ -71,12 +71,15 @@ class Clustering:
         named = lookup_join(self.nodes.filter("component IS NOT NULL"), labels, ["component"], "inner", self.n_nodes)
         if self.n_nodes <= _BROADCAST_LABELS:
             row = self.grid.row(F.col(lat))
-            placed = records.withColumn("row", row).withColumn("col", self.grid.col(F.col("row"), F.col(lon)))
-            cells = named.filter("dense").select("row", "col", *[F.col(c).alias(f"_cell_{c}") for c in new])
+            placed = records.withColumn("_row", row).withColumn("_col", self.grid.col(F.col("_row"), F.col(lon)))
+            cells = named.filter("dense").select(
+                F.col("row").alias("_row"), F.col("col").alias("_col"), *[F.col(c).alias(f"_cell_{c}") for c in new]
+            )
             loose = named.filter("NOT dense").select(
                 F.col("lat").alias(lat), F.col("lon").alias(lon), *[F.col(c).alias(f"_point_{c}") for c in new]
             )
-            joined = placed.join(F.broadcast(cells), ["row", "col"], "left").join(F.broadcast(loose), [lat, lon], "left")
+            joined = placed.join(F.broadcast(cells), ["_row", "_col"], "left")
+            joined = joined.join(F.broadcast(loose), [lat, lon], "left")
             picked = [F.coalesce(f"_cell_{c}", f"_point_{c}").alias(c) for c in new]
             return joined.select(*records.columns, *picked)
         key = [F.col("lat").alias(lat), F.col("lon").alias(lon)]

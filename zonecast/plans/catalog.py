@@ -100,8 +100,8 @@ def normalised_keys(w: Workspace) -> DataFrame:
 
 @query
 def coordinate_quarantine(w: Workspace) -> DataFrame:
-    """Counts on both sides of the coordinate check; every 7th id is given a broken latitude."""
-    broken = w.records.withColumn("latitude", F.when(F.col("id") % 7 == 0, None).otherwise(F.col("latitude")))
+    """Counts on both sides of the coordinate check, with records that name no street taken as not located."""
+    broken = w.records.withColumn("latitude", F.when(F.col("location_first_segment").isNotNull(), F.col("latitude")))
     good, bad = split_usable(broken)
     sides = good.select(F.lit("usable").alias("side")).unionByName(bad.select(F.lit("quarantined").alias("side")))
     return sides.groupBy("side").agg(F.count(F.lit(1)).alias("n"))

@@ -39,7 +39,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return read_csv(spark, path, RECORDS) if path.endswith(".csv") else read_table(spark, path)
 
 
-class Pipeline:
+class BatchJobs:
     def __init__(self, spark: SparkSession, records: DataFrame, marts: str, settings: Settings | None = None):
         self.settings = settings or Settings()
         self.spark, self.marts = prepare(spark), marts
@@ -159,13 +159,13 @@ class Pipeline:
 
 def main() -> None:
     parser = argparse.ArgumentParser(description=__doc__)
-    parser.add_argument("job", choices=[*Pipeline.JOBS, "all"])
+    parser.add_argument("job", choices=[*BatchJobs.JOBS, "all"])
     parser.add_argument("--records", required=True)
     parser.add_argument("--marts", required=True)
     parser.add_argument("--format", default="parquet", choices=["parquet", "csv"])
     args = parser.parse_args()
     spark = SparkSession.builder.appName(f"zonecast-{args.job}").getOrCreate()
-    Pipeline(spark, read_records(spark, args.records), args.marts, Settings(fmt=args.format)).run(args.job)
+    BatchJobs(spark, read_records(spark, args.records), args.marts, Settings(fmt=args.format)).run(args.job)
 
 
 if __name__ == "__main__":
