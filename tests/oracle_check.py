@@ -17,7 +17,7 @@ def connect(sf_dir):
     return con
 
 
-_KIND = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE"}
+_KIND = {"bigint": "BIGINT", "int": "INTEGER", "boolean": "BOOLEAN", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE"}
 
 
 def rows_of(columns, rows):
