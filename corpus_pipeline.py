@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from zonecast.llm import decontaminate, quality_rules
+from zonecast.llm import decontaminate, packing, quality_rules
 from zonecast.llm.common import table
+from zonecast.llm.registry import PACK_END, vocabulary
 from zonecast.session import materialize
 
 
@@ -22,9 +23,14 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, vocabulary(), PACK_END)
+
+
 STAGES = [
     ("quality_rules", good_documents),
     ("decontamination", without_benchmark),
+    ("packing", packed),
 ]
 
 #: Verified candidates and packing plans are beyond SQL; tests/llm holds every stage against brute force.

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from zonecast.llm import decontaminate, oracle, quality_rules
+from zonecast.llm import decontaminate, oracle, packing, quality_rules, token_files
 from zonecast.llm.common import table
 
 
@@ -14,6 +15,23 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+#: Ids that end a document, in packed sequences and in token files.
+PACK_END, FILE_END = 1, 2
+
+
+def vocabulary() -> str:
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary(), PACK_END)
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, manifest = token_files.write(table(spark, sf_dir, "documents"), vocabulary(), FILE_END)
+    return token_files.read(spark, folder, manifest).drop("ids")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.judge(table(spark, sf_dir, "documents"))
     return rows.select(
@@ -24,6 +42,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
+    "op6_pack": op6_pack,
+    "op7_token_files": op7_token_files,
     "op9_quality_rules": op9_quality_rules,
 }
 
