@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from zonecast.llm import decontaminate, packing, quality_rules
+from zonecast.llm import decontaminate, near_dup, packing, quality_rules
 from zonecast.llm.common import table
 from zonecast.llm.registry import PACK_END, vocabulary
 from zonecast.session import materialize
@@ -19,6 +19,10 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return quality_rules.keep_good(docs)
 
 
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dup.drop_near_duplicates(docs)
+
+
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
@@ -29,6 +33,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality_rules", good_documents),
+    ("near_dedup", without_near_duplicates),
     ("decontamination", without_benchmark),
     ("packing", packed),
 ]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from zonecast.llm import decontaminate, oracle, packing, quality_rules, token_files
+from zonecast.llm import decontaminate, near_dup, oracle, packing, quality_rules, token_files
 from zonecast.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 #: Ids that end a document, in packed sequences and in token files.
 PACK_END, FILE_END = 1, 2
 
@@ -42,6 +46,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
+    "op5_near_dup": op5_near_dup,
     "op6_pack": op6_pack,
     "op7_token_files": op7_token_files,
     "op9_quality_rules": op9_quality_rules,
