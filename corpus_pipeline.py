@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from zonecast.llm import decontaminate, near_dup, packing, quality_rules
+from zonecast.llm import decontaminate, near_dup, packing, quality_rules, substring_dedup
 from zonecast.llm.common import table
 from zonecast.llm.registry import PACK_END, vocabulary
 from zonecast.session import materialize
@@ -23,6 +23,10 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     return near_dup.drop_near_duplicates(docs)
 
 
+def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return substring_dedup.cut_passages(docs)
+
+
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
@@ -34,6 +38,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality_rules", good_documents),
     ("near_dedup", without_near_duplicates),
+    ("substring_dedup", without_repeated_passages),
     ("decontamination", without_benchmark),
     ("packing", packed),
 ]
