@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from zonecast.llm import decontaminate, near_dup, oracle, packing, quality_rules, substring_dedup, token_files
-from zonecast.llm.common import table
+from zonecast.llm import decontaminate, language, near_dup, oracle, packing, quality_rules, substring_dedup, token_files
+from zonecast.llm.common import crc_fold, table
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +20,12 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = crc_fold("doc_id", 4, 2)
+    return language.identify(docs.select("doc_id", held.alias("held_out"), "text"), docs.filter(~held).select("lang", "text"))
+
+
 def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -51,6 +58,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_decontaminate": op2_decontaminate,
+    "op3_language": op3_language,
     "op5_near_dup": op5_near_dup,
     "op6_pack": op6_pack,
     "op7_token_files": op7_token_files,
