@@ -34,3 +34,21 @@ items AS (SELECT k, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(l, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM d LEFT JOIN places USING (k) LEFT JOIN items USING (k)
 """
+
+
+def licenses(templates: list[tuple[str, str]], threshold: float) -> str:
+    values = ", ".join("({}, '{}', '{}')".format(i, n, t.replace("'", "''")) for i, (n, t) in enumerate(templates))
+    cut = r"list_filter(string_split_regex(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
+s AS (SELECT DISTINCT k, unnest(string_split(t, chr(10)) || string_split_regex(t, '\n[\x20\x09-\x0D]*\n') || [t]) AS s FROM d),
+w AS (SELECT k, s, {cut.format("s")} AS ws FROM s),
+b AS (SELECT k, s, list_distinct([ws[i] || ' ' || ws[i + 1] for i in range(1, len(ws))]) AS g FROM w WHERE len(ws) > 1),
+tw AS (SELECT i, name, {cut.format("t")} AS ws FROM (VALUES {values}) v(i, name, t)),
+tb AS (SELECT i, name, list_distinct([ws[i] || ' ' || ws[i + 1] for i in range(1, len(ws))]) AS h FROM tw),
+m AS (SELECT k, name, 2e0 * len(list_intersect(g, h)) / (len(g) + len(h)) AS score FROM b JOIN tb ON len(g) <= 1.6 * len(h) AND len(h) <= 1.6 * len(g)),
+best AS (SELECT k, count(*) AS n, max(score) AS score FROM m WHERE score >= {threshold}e0 GROUP BY k),
+named AS (SELECT k, min(name) AS name FROM m JOIN best USING (k, score) GROUP BY k)
+SELECT doc_id, name AS license, coalesce(score, 0e0) AS score, coalesce(n, 0) AS n_matches
+FROM d LEFT JOIN best USING (k) LEFT JOIN named USING (k)
+"""

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from zonecast.llm import decontaminate, language, near_dup, oracle, packing, quality_rules, substring_dedup, token_files
+from zonecast.llm import (
+    decontaminate, language, licenses, near_dup, oracle, packing, quality_cnn, quality_rules, substring_dedup, token_files, toxicity,
+)
 from zonecast.llm.common import crc_fold, table
 
 
@@ -26,6 +27,10 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs.select("doc_id", held.alias("held_out"), "text"), docs.filter(~held).select("lang", "text"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -47,6 +52,13 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, folder, manifest).drop("ids")
 
 
+def op8_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = crc_fold("doc_id", 5, 0)
+    model = quality_cnn.learn(docs, labels, ~held)
+    return quality_cnn.score(docs.select("doc_id", held.alias("held_out"), "text"), model)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.judge(table(spark, sf_dir, "documents"))
     return rows.select(
@@ -55,14 +67,28 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = crc_fold("doc_id", 4, 2)
+    model = toxicity.learn(docs, labels, ~held)
+    return toxicity.score(docs.select("doc_id", held.alias("held_out"), "text"), model)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_decontaminate": op2_decontaminate,
     "op3_language": op3_language,
+    "op4_licenses": op4_licenses,
     "op5_near_dup": op5_near_dup,
     "op6_pack": op6_pack,
     "op7_token_files": op7_token_files,
+    "op8_quality_cnn": op8_quality_cnn,
     "op9_quality_rules": op9_quality_rules,
+    "op10_toxicity": op10_toxicity,
 }
 
-SQL: dict[str, str] = {"op2_decontaminate": oracle.CONTAMINATION, "op9_quality_rules": oracle.QUALITY_RULES}
+SQL: dict[str, str] = {
+    "op2_decontaminate": oracle.CONTAMINATION,
+    "op4_licenses": oracle.licenses(licenses.TEMPLATES, licenses.THRESHOLD),
+    "op9_quality_rules": oracle.QUALITY_RULES,
+}
