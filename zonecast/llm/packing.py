@@ -36,8 +36,8 @@ def pieces(docs: DataFrame, path: str, end_id: int, length: int = LENGTH, with_i
 
         def work(rows: dict) -> dict:
             out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids)}
-            for doc_id, text in zip(rows["doc_id"], rows["text"]):
-                ids = encode(text) + end
+            for doc_id, ids in zip(rows["doc_id"], encode(rows["text"])):
+                ids += end
                 for n, at in enumerate(range(0, len(ids), 4 * length)):
                     part = ids[at : at + 4 * length]
                     values = doc_id, n, at // 4, len(part) // 4, zlib.crc32(part), part

@@ -161,7 +161,7 @@ def write(docs: DataFrame, path: str, end_id: int, folder: str | None = None, sh
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256).to_pydict()
                 names += part["doc_id"]
-                parts += [encode(t) + end for t in part["text"]]
+                parts += [ids + end for ids in encode(part["text"])]
         if names:
             shard = TaskContext.get().partitionId()
             file = f"{shard:08d}.pfor"

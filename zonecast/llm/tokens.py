@@ -7,8 +7,9 @@ import re
 #: Python splits at these, the tokenizer does not; a text that has one is encoded as it stands.
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85]")
 #: Words for which lower-casing and NFC work character by character, so that their pieces can be looked up.
-_PLAIN = re.compile("[!-~¡-ɏ]+")
-_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+_PLAIN_LINES = re.compile("[\n!-~¡-ɏ]*")
+#: The tokenizer's own pattern, and line ends.
+_PIECES = r"\n|'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 _MARK = "<|endoftext|>"
 
 
@@ -20,7 +21,7 @@ class WordEncoder:
     tokenizer cuts them into, of which there are fewer. Both tables are emptied when they are full, which bounds memory.
     """
 
-    def __init__(self, path: str, most_words: int = 250_000, most_pieces: int = 400_000):
+    def __init__(self, path: str, most_words: int = 400_000, most_pieces: int = 700_000):
         import numpy as np
         import regex
         from tokenizers import Tokenizer
@@ -33,42 +34,48 @@ class WordEncoder:
         self._pieces: dict[str, bytes] = {}
         self._most = most_words, most_pieces
 
-    def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if _ODD_SPACE.search(text):
-            return self._ids(text)
-        words = text.split()
-        found = list(map(self._words.get, words))
-        if None in found:
-            self._learn({w for w, ids in zip(words, found) if ids is None})
-            known = self._words
-            found = [known[w] for w in words] if len(known) else []
-            if len(known) > self._most[0]:
-                self._words = {}
-        return b"".join(found)
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text; words that are new to any of them are encoded together."""
+        split = [(text or "").split() for text in texts]
+        new = set().union(*split).difference(self._words)
+        if new:
+            self._learn(list(new))
+        known = self._words.__getitem__
+        out = [b"".join(map(known, words)) for words in split]
+        for i, text in enumerate(texts):
+            if text and _ODD_SPACE.search(text):
+                out[i] = self._ids(text)
+        if len(self._words) > self._most[0]:
+            self._words = {}
+        if len(self._pieces) > self._most[1]:
+            self._pieces = {}
+        return out
 
     def _ids(self, text: str) -> bytes:
         return self._array(self._tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, words: set[str]) -> None:
-        cut = {}
-        for word in words:
-            if "<|" not in word and _PLAIN.fullmatch(word):
-                cut[word] = self._cut(word.lower())
-            else:
-                self._words[word] = self._ids(word)
+    def _learn(self, words: list[str]) -> None:
+        if "<|" in (joined := "\n".join(words)) or not _PLAIN_LINES.fullmatch(joined):
+            for word in words:
+                if "<|" in word or not _PLAIN_LINES.fullmatch(word):
+                    self._words[word] = self._ids(word)
+            words = [w for w in words if w not in self._words]
+            joined = "\n".join(words)
+        # one pass cuts all words, and tells them apart by the line ends between them
+        cut = self._cut(joined.lower())
         pieces = self._pieces
-        self._encode([p for p in {p for ps in cut.values() for p in ps} if p not in pieces])
-        for word, ps in cut.items():
-            self._words[word] = b"".join([pieces[p] for p in ps]) if len(ps) != 1 else pieces[ps[0]]
-        if len(pieces) > self._most[1]:
-            self._pieces = {}
+        self._encode(list(set(cut).difference(pieces, "\n")))
+        ids = [pieces.get(p) for p in cut]  # None at line ends
+        ends = [i for i, x in enumerate(ids) if x is None] + [len(ids)]
+        start = 0
+        for word, end in zip(words, ends if words else (), strict=True):
+            self._words[word] = ids[start] if end == start + 1 else b"".join(ids[start:end])
+            start = end + 1
 
     def _encode(self, new: list[str]) -> None:
         """Encode pieces many at a time, told apart by the mark, which the tokenizer cuts out before anything else."""
-        for at in range(0, len(new), 256):
-            part = new[at : at + 256]
+        for at in range(0, len(new), 512):
+            part = new[at : at + 512]
             ids = self._tokenizer.encode_batch_fast([_MARK.join(part)], add_special_tokens=False)[0].ids
             raw, start = self._array(ids, dtype="<u4").tobytes(), 0
             ends = [i for i, x in enumerate(ids) if x == self._mark] + [len(ids)]
