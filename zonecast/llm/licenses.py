@@ -64,7 +64,8 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshol
     text = F.coalesce(F.col("text"), F.lit(""))
     segments = F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, r"\n[\x20\x09-\x0D]*\n"), F.array(text)))
     rows = base.select("_key", F.explode(segments).alias("_s")).select("_key", words_of(F.col("_s")).alias("_w"))
-    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
+    # a little wider than the bounds, so that rounding prunes nothing that just reaches the threshold
+    low, high = threshold / (2 - threshold) - 1e-9, (2 - threshold) / threshold + 1e-9
     # a segment has at most one bigram less than words, so too few words are out before bigrams are made
     fewest = min((len(b) for _, b in known), default=1) * low
     rows = rows.filter(F.size("_w") - 1 >= fewest)
