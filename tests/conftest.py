@@ -16,13 +16,3 @@ def spark():
     session = local_session("tests", cpus="6", memory="6g", partitions=2)
     yield session
     session.stop()
-
-
-@pytest.fixture()
-def large_paths(monkeypatch):
-    """Make every size check fail, so the code for tables beyond one task runs on small fixtures."""
-    from zonecast.operators import dbscan, ordering, skew
-
-    for module in (ordering, skew):
-        monkeypatch.setattr(module, "ONE_TASK_ROWS", -1)
-    monkeypatch.setattr(dbscan, "_BROADCAST_LABELS", -1)

@@ -89,7 +89,7 @@ def test_crowded_cells_are_refined(spark, seed):
     check(spark, coords, 100.0, 6, direct_pairs=1)
 
 
-def test_paths_for_large_tables(spark, large_paths):
+def test_paths_for_large_tables(spark):
     coords = cloud(11, 12.97, 77.59, 150, 120) + [(12.97, 77.59)] * 60
     result, df = check(spark, coords, 100.0, 5)
     labels = result.nodes.filter("component IS NOT NULL").select("component").distinct()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from zonecast.functions import scalars as S
 from zonecast.operators import deployment, evaluation, panel
-from zonecast.operators.ordering import average_rank, running_total, with_position
+from zonecast.operators.ordering import average_rank, bounded_position, running_total, with_position
 from zonecast.operators.scoring import band_by_position, log_minmax
 
 DAY0 = dt.date(2023, 11, 10)
@@ -97,19 +97,18 @@ def test_positions_small_and_large_agree(spark, monkeypatch):
     rng = np.random.default_rng(4)
     df = keyed([(i, float(rng.integers(0, 7))) for i in range(300)], "id long, v double", spark)
     order = [F.desc("v"), F.asc("id")]
-    small = with_position(df, order, n_rows=300).collect()
+    small = bounded_position(df, order).collect()
     large = with_position(df, order).collect()
     assert sorted(small) == sorted(large)
     assert sorted(r.position for r in large) == list(range(300))
 
 
 def test_average_rank_matches_pandas(spark):
-    values = [1.0, 2.0, 2.0, 5.0] + [3.5] * 40 + [0.0] * 25
+    values = [1.0, 2.0, 2.0, 5.0] + [3.5] * 40 + [0.0] * 25 + [None] * 3
     df = keyed(list(enumerate(values)), "id long, v double", spark)
     want = pd.Series(values).rank().tolist()
-    for n in (len(values), None):
-        got = {r.id: r.r for r in average_rank(df, "v", "r", n).collect()}
-        assert [got[i] for i in range(len(values))] == want
+    got = {r.id: r.r for r in average_rank(df, "v", "r").collect()}
+    assert [got[i] for i in range(len(values) - 3)] == want[:-3] and {got[i] for i in range(len(values) - 3, len(values))} == {None}
 
 
 def test_running_total(spark):
@@ -191,15 +190,14 @@ def test_histogram_and_stats(spark):
     df = keyed([(f"Z{i}", v, 0.0, -v, v) for i, v in enumerate(values)], "zone_id string, actual double, predicted double, error double, absolute_error double", spark)
     got = [r.zones for r in evaluation.error_histogram(df).orderBy("bin").collect()]
     assert got == [2, 1, 1, 1, 1, 0, 1, 1, 2]
-    for n in (len(values), None):
-        stats = evaluation.error_stats(df, n).first()
-        assert stats.median_error == sorted(values)[5] and stats.under_1 == 3 and stats.over_20 == 4
+    stats = evaluation.error_stats(df).first()
+    assert stats.median_error == sorted(values)[5] and stats.under_1 == 3 and stats.over_20 == 4
 
 
 def test_risk_upgrades(spark):
     rows = [(f"Z{i}", float(i), 0.0 if i < 2 else 99.0, ["Very High", "High"][i] if i < 2 else "Low", "night") for i in range(10)]
     df = keyed(rows, "zone_id string, yhat double, lag_1_count double, hotspot_band string, dominant_time_bucket string", spark)
-    got = {r.zone_id: (r.predicted_risk_band, r.predicted_risk_score) for r in deployment.risk_scores(df, 10).collect()}
+    got = {r.zone_id: (r.predicted_risk_band, r.predicted_risk_score) for r in deployment.risk_scores(df).collect()}
     assert got["Z0"] == ("Low", 10.0)        # 0 is not above 0
     assert got["Z1"] == ("High", 70.0)
     assert got["Z9"] == ("Very High", 100.0) and got["Z6"] == ("High", 70.0) and got["Z3"] == ("Medium", 40.0)

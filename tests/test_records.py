@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from zonecast.functions import scalars as S
 from zonecast.operators import cleaning, entities, heatmap, zones
-from zonecast.operators.skew import lookup_join
+from zonecast.operators.skew import hot_keys, lookup_join
 from zonecast.sources import marts, schemas
 
 
@@ -68,10 +68,7 @@ def record_frame(spark):
     return spark.createDataFrame(rows, schemas.RECORDS)
 
 
-@pytest.mark.parametrize("large", [False, True])
-def test_records_to_zones(spark, large, request):
-    if large:
-        request.getfixturevalue("large_paths")
+def test_records_to_zones(spark):
     from zonecast.operators.dbscan import dbscan
 
     records = cleaning.prepare_records(record_frame(spark))
@@ -96,10 +93,7 @@ def test_lost_records_are_noticed(spark):
         zones.check_conservation(records, labelled, records.limit(0)).collect()
 
 
-@pytest.mark.parametrize("large", [False, True])
-def test_entity_ranking(spark, large, request):
-    if large:
-        request.getfixturevalue("large_paths")
+def test_entity_ranking(spark):
     records = cleaning.prepare_records(record_frame(spark))
     got = entities.rank_entities(records).toPandas().sort_values("global_rank")
     assert list(got.global_rank) == list(range(1, len(got) + 1))
@@ -119,12 +113,13 @@ def test_heatmap_is_dense(spark):
     assert list(matrix.day_name) == S.DAYS and matrix[[f"h{h}" for h in range(24)]].to_numpy().sum() == 38
 
 
-def test_lookup_join_keeps_every_row(spark, large_paths):
+def test_lookup_join_keeps_every_row(spark):
     facts = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") if i % 10 else (i, None) for i in range(600)], "id long, k string")
     dim = facts.filter("k IS NOT NULL").select("k").distinct().withColumn("v", F.length("k"))
-    got = lookup_join(facts, dim, ["k"]).toPandas()
-    assert sorted(got.id) == list(range(600))
-    assert got[got.k.isna()].v.isna().all() and (got[got.k == "hot"].v == 3).all()
+    for hot in (None, hot_keys(facts, ["k"])):
+        got = lookup_join(facts, dim, ["k"], hot=hot).toPandas()
+        assert sorted(got.id) == list(range(600))
+        assert got[got.k.isna()].v.isna().all() and (got[got.k == "hot"].v == 3).all()
 
 
 def test_column_and_key_normalisation(spark):

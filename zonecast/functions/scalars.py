@@ -79,7 +79,8 @@ def grid_key(lat: Column, lon: Column, decimals: int = 3) -> tuple[Column, Colum
 
 def time_bucket(hour: Column) -> Column:
     return (
-        F.when((hour >= 8) & (hour < 11), "morning_peak")
+        F.when(hour.isNull(), None)
+        .when((hour >= 8) & (hour < 11), "morning_peak")
         .when((hour >= 11) & (hour < 17), "midday")
         .when((hour >= 17) & (hour < 20), "evening_peak")
         .otherwise("night")

@@ -96,7 +96,7 @@ def location_load(df: DataFrame, location: str, vehicle: str) -> DataFrame:
 def encode_category(df: DataFrame, column: str) -> DataFrame:
     """Add `<column>_code`: 0 for the most frequent value, equal counts in text order."""
     counts = materialize(df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n")), "codes")
-    coded = with_position(counts, [F.desc("_n"), F.asc(column)], f"{column}_code", counts.count())
+    coded = with_position(counts, [F.desc("_n"), F.asc(column)], f"{column}_code")
     return lookup_join(df, coded.drop("_n"), [column], "left", hot=hot_keys(counts, [column], F.col("_n")))
 
 

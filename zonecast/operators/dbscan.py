@@ -17,14 +17,13 @@ from pyspark.sql import functions as F
 from zonecast.functions.geo import BOX, CellGrid, box_bounds, box_columns, haversin_of, haversine_m, usable_coordinate
 from zonecast.operators.components import connected_components
 from zonecast.operators.ordering import with_position
-from zonecast.operators.skew import hot_keys, lookup_join
+from zonecast.operators.skew import lookup_join
 from zonecast.session import materialize
 
 _SURE = 1e-9  # relative slack within which a box bound is not trusted and points are compared
 _DIRECT_PAIRS = 64  # boxes with at most this many point pairs are compared point by point
 _MAX_DEPTH = 40  # quarters of a cell are then below the resolution of a double
 # Label tables up to this many rows (some 40 bytes each) are broadcast to the records; larger ones are joined by shuffle.
-_BROADCAST_LABELS = 1_000_000
 
 
 def split_usable(records: DataFrame, lat: str = "latitude", lon: str = "longitude") -> tuple[DataFrame, DataFrame]:
@@ -58,35 +57,29 @@ class Clustering:
         label = ["component_lat", "component_lon"]
         loose = self.nodes.filter("NOT dense").select("lat", "lon", "weight", *label, F.col("core").alias("is_core"))
         cells = self.nodes.filter("dense").select("row", "col", *label, F.col("core").alias("is_core"))
-        inside = lookup_join(self.points, cells, ["row", "col"], "inner", self.n_points)
+        inside = lookup_join(self.points, cells, ["row", "col"], "inner")
         return inside.select(*loose.columns).unionByName(loose)
 
     def label_records(self, records: DataFrame, labels: DataFrame, lat: str = "latitude", lon: str = "longitude"):
         """Left join `labels` (one row per `component`) to the records by their place.
 
-        Records find their label by cell, or by point outside dense cells, so up to _BROADCAST_LABELS nodes the records
-        are not shuffled at all. Beyond that they are joined by point, with the heavy points salted.
+        Records find their label by cell, or by point outside dense cells. Labels and nodes are written tables, so Spark
+        broadcasts them by their true size or else joins and splits skewed partitions.
         """
         new = [c for c in labels.columns if c != "component"]
-        named = lookup_join(self.nodes.filter("component IS NOT NULL"), labels, ["component"], "inner", self.n_nodes)
-        if self.n_nodes <= _BROADCAST_LABELS:
-            row = self.grid.row(F.col(lat))
-            placed = records.withColumn("_row", row).withColumn("_col", self.grid.col(F.col("_row"), F.col(lon)))
-            cells = named.filter("dense").select(
-                F.col("row").alias("_row"), F.col("col").alias("_col"), *[F.col(c).alias(f"_cell_{c}") for c in new]
-            )
-            loose = named.filter("NOT dense").select(
-                F.col("lat").alias(lat), F.col("lon").alias(lon), *[F.col(c).alias(f"_point_{c}") for c in new]
-            )
-            joined = placed.join(F.broadcast(cells), ["_row", "_col"], "left")
-            joined = joined.join(F.broadcast(loose), [lat, lon], "left")
-            picked = [F.coalesce(f"_cell_{c}", f"_point_{c}").alias(c) for c in new]
-            return joined.select(*records.columns, *picked)
-        key = [F.col("lat").alias(lat), F.col("lon").alias(lon)]
-        loose = named.filter("NOT dense").select(*key, *new)
-        cells = lookup_join(self.points, named.filter("dense").select("row", "col", *new), ["row", "col"], "inner")
-        hot = hot_keys(self.points.select(*key, "weight"), [lat, lon], F.col("weight"))
-        return lookup_join(records, loose.unionByName(cells.select(*key, *new)), [lat, lon], hot=hot)
+        named = lookup_join(self.nodes.filter("component IS NOT NULL"), labels, ["component"], "inner")
+        row = self.grid.row(F.col(lat))
+        placed = records.withColumn("_row", row).withColumn("_col", self.grid.col(F.col("_row"), F.col(lon)))
+        cells = named.filter("dense").select(
+            F.col("row").alias("_row"), F.col("col").alias("_col"), *[F.col(c).alias(f"_cell_{c}") for c in new]
+        )
+        loose = named.filter("NOT dense").select(
+            F.col("lat").alias(lat), F.col("lon").alias(lon), *[F.col(c).alias(f"_point_{c}") for c in new]
+        )
+        joined = placed.join(cells, ["_row", "_col"], "left")
+        joined = joined.join(loose, [lat, lon], "left")
+        picked = [F.coalesce(f"_cell_{c}", f"_point_{c}").alias(c) for c in new]
+        return joined.select(*records.columns, *picked)
 
 
 def dbscan(
@@ -150,7 +143,7 @@ def dbscan(
     names = nodes.select(
         F.col("id").alias("component"), F.col("lat").alias("component_lat"), F.col("lon").alias("component_lon")
     )
-    named = lookup_join(labels.unionByName(border), names, ["component"], "inner", n_nodes)
+    named = lookup_join(labels.unionByName(border), names, ["component"], "inner")
     return Clustering(grid, points, materialize(nodes.join(named, "id", "left"), "clustered"), n_points, n_nodes)
 
 
@@ -177,7 +170,7 @@ def _nodes(points: DataFrame, min_samples: int) -> tuple[DataFrame, int]:
     )
     size = F.sum(F.when(F.col("weight") >= min_samples, 1).otherwise(F.col("n")))
     n_nodes = cells.agg(size).first()[0] or 0
-    found = with_position(dense.unionByName(single), [F.col("lat"), F.col("lon")], "id", n_nodes)
+    found = with_position(dense.unionByName(single), [F.col("lat"), F.col("lon")], "id")
     return materialize(found, "numbered"), n_nodes
 
 
@@ -209,7 +202,7 @@ def _members(points: DataFrame, pairs: DataFrame, nodes: DataFrame, n_points: in
         undecided.filter("u_dense").select(F.col("u").alias("id"))
     ).distinct()
     cells = nodes.filter("dense").join(wanted, "id", "left_semi").select("row", "col", "id", "n")
-    return materialize(lookup_join(points, cells, ["row", "col"], "inner", n_points), "members")
+    return materialize(lookup_join(points, cells, ["row", "col"], "inner"), "members")
 
 
 def _reached(pairs: DataFrame, members: DataFrame, eps_m: float, n_points: int) -> DataFrame:
@@ -219,7 +212,7 @@ def _reached(pairs: DataFrame, members: DataFrame, eps_m: float, n_points: int)
     part = single.filter("NOT inside").select("u", F.col("v").alias("id"), "u_lat", "u_lon")
     near = haversine_m(F.col("u_lat"), F.col("u_lon"), F.col("lat"), F.col("lon")) <= eps_m
     counted = (
-        lookup_join(members.select("id", "lat", "lon", "weight"), part, ["id"], "inner", n_points)
+        lookup_join(members.select("id", "lat", "lon", "weight"), part, ["id"], "inner")
         .filter(near)
         .groupBy("u", F.col("id").alias("v"))
         .agg(F.sum("weight").alias("w"))
@@ -239,8 +232,8 @@ def _touching(
                     F.col("lat").alias("_alat"), F.col("lon").alias("_alon"))
     b = right.select(*[F.col(c).alias(k) for c, k in zip(right.columns, v)],
                      F.col("lat").alias("_blat"), F.col("lon").alias("_blon"))
-    with_a = lookup_join(a, pairs, u, "inner", n_points)
-    with_b = lookup_join(b, with_a, v, "inner", n_points)
+    with_a = lookup_join(a, pairs, u, "inner")
+    with_b = lookup_join(b, with_a, v, "inner")
     near = haversine_m(F.col("_alat"), F.col("_alon"), F.col("_blat"), F.col("_blon")) <= eps_m
     return with_b.filter(near).select("u", "v").distinct()
 
@@ -252,9 +245,9 @@ def _merge(labels: DataFrame, links: DataFrame, n_nodes: int) -> DataFrame:
     between = links.join(of_u, "u").join(of_v, "v").select(F.col("_cu").alias("u"), F.col("_cv").alias("v"))
     between = materialize(_both_ways(between).distinct(), "component_edges")
     ends = between.select(F.col("u").alias("id")).distinct()
-    joined = connected_components(ends, between, bounded_degree=False)
+    joined = connected_components(ends, between)
     new = joined.select(F.col("id").alias("component"), F.col("component").alias("_to"))
-    moved = lookup_join(labels, new, ["component"], "left", n_nodes)
+    moved = lookup_join(labels, new, ["component"], "left")
     return materialize(moved.select("id", F.coalesce("_to", "component").alias("component")), "merged")
 
 

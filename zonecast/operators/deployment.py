@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from zonecast.functions import scalars as S
-from zonecast.operators.ordering import average_rank, with_position
+from zonecast.operators.ordering import average_rank, bounded_position
 
 FORECAST = "predicted_next_day_violations"
 RECOMMENDATION_COLUMNS = [
@@ -24,23 +24,23 @@ def last_day(features: DataFrame, day=None) -> DataFrame:
     return features.filter(F.col("created_date") == (features.agg(F.max("created_date")).scalar() if day is None else day))
 
 
-def risk_percentiles(forecast: DataFrame, n_rows: int | None = None) -> DataFrame:
-    """Round the forecast `yhat` and add its percentile with equal values sharing their mean rank."""
-    rounded = forecast.withColumn(FORECAST, S.round_half_even(F.greatest("yhat", F.lit(0.0)), 2))
+def risk_percentiles(forecast: DataFrame) -> DataFrame:
+    """Round the forecast `yhat` and add its percentile with equal values sharing their mean rank; no forecast, no rank."""
+    rounded = forecast.withColumn(FORECAST, S.round_half_even(F.when(F.col("yhat").isNotNull(), F.greatest("yhat", F.lit(0.0))), 2))
     n = rounded.agg(F.count(F.lit(1))).scalar()
-    ranked = average_rank(rounded, FORECAST, "_rank", n_rows)
+    ranked = average_rank(rounded, FORECAST, "_rank")
     return ranked.withColumn("predicted_pct", F.col("_rank") / n).drop("_rank")
 
 
-def risk_scores(forecast: DataFrame, n_rows: int | None = None) -> DataFrame:
+def risk_scores(forecast: DataFrame) -> DataFrame:
     """Band by percentile, then lift rising zones of the two upper hotspot bands.
 
     "Rising" compares the forecast with `lag_1_count`, as the source rule does.
     """
-    scored = risk_percentiles(forecast, n_rows).withColumns(
+    scored = risk_percentiles(forecast).withColumns(
         {
             "predicted_risk_score": S.round_half_even(F.col("predicted_pct") * 100, 1),
-            "predicted_risk_band": S.risk_band(F.col("predicted_pct")),
+            "predicted_risk_band": F.when(F.col("predicted_pct").isNotNull(), S.risk_band(F.col("predicted_pct"))),
         }
     )
     rising = F.col(FORECAST) > F.col("lag_1_count")
@@ -62,10 +62,10 @@ def risk_scores(forecast: DataFrame, n_rows: int | None = None) -> DataFrame:
     )
 
 
-def recommendations(forecast: DataFrame, n_rows: int | None = None) -> DataFrame:
+def recommendations(forecast: DataFrame) -> DataFrame:
     """Deployment table from last-day features with a forecast column `yhat`."""
     band = F.col("predicted_risk_band")
-    return risk_scores(forecast, n_rows).withColumns(
+    return risk_scores(forecast).withColumns(
         {
             "recommended_action": S.lookup(band, S.ACTIONS),
             "manpower_estimate": S.lookup(band, S.MANPOWER),
@@ -89,7 +89,7 @@ def compare_top(old: DataFrame, new: DataFrame, k: int = 10) -> DataFrame:
     def top(recs: DataFrame, side: str) -> DataFrame:
         best = recs.orderBy(*risk_order()).limit(k)
         columns = ["zone_id", FORECAST, "predicted_risk_score", "predicted_risk_band"]
-        return with_position(best, risk_order(), "place", k).select(
+        return bounded_position(best, risk_order(), "place").select(
             (F.col("place") + 1).alias("place"), *[F.col(c).alias(f"{side}_{c}") for c in columns]
         )
 
@@ -136,7 +136,7 @@ def coverage(recs: DataFrame, officers: int, trucks: int, historical_pct: float
     whole = recs.agg(F.struct(F.sum(FORECAST).alias("v"), F.count(F.lit(1)).alias("n"))).scalar()
     both = covered.withColumn("whole", whole)
     guided = F.when(F.col("whole.v") > 0, F.col("c") / F.col("whole.v") * 100).otherwise(0.0)
-    patrol = S.clamp(F.col("zones") / F.col("whole.n") * 40 + 6, 5.0, 25.0)
+    patrol = S.clamp(F.coalesce(F.try_divide("zones", "whole.n"), F.lit(0.0)) * 40 + 6, 5.0, 25.0)
     return both.select(
         guided.alias("guided_pct"), patrol.alias("random_pct"), F.lit(historical_pct).alias("historical_pct"),
         (guided / patrol).alias("multiplier"), F.col("zones").alias("zones_served"),

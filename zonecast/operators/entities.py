@@ -44,7 +44,6 @@ def entity_totals(records: DataFrame, kinds: dict = ENTITY_KINDS) -> DataFrame:
 def rank_entities(records: DataFrame, kinds: dict = ENTITY_KINDS) -> DataFrame:
     """Score each type on its own scale, rank inside the type and over all types."""
     totals = materialize(entity_totals(records, kinds), "entities")
-    n = totals.count()
     scored = hotspot_score(
         totals,
         {
@@ -54,8 +53,8 @@ def rank_entities(records: DataFrame, kinds: dict = ENTITY_KINDS) -> DataFrame:
         by="entity_type",
     )
     by_score = [F.desc("hotspot_score"), F.desc("total_violations"), F.asc("entity_type"), F.asc("raw_name")]
-    placed = with_position(scored, by_score, "_global", n)
-    placed = with_position(placed, [F.asc("entity_type"), F.asc("_global")], "_place", n)
+    placed = with_position(scored, by_score, "_global")
+    placed = with_position(placed, [F.asc("entity_type"), F.asc("_global")], "_place")
     # one row per type of `kinds`
     starts = F.broadcast(placed.groupBy("entity_type").agg(F.min("_place").alias("_start")))
     name = F.col("raw_name")

@@ -50,7 +50,7 @@ def baseline_predictions(split_rows: DataFrame) -> DataFrame:
     return held_out.select("split", "zone_id", "created_date", F.col(TARGET).cast("double").alias("y"),
                            F.explode(guesses).alias("e")).select(
         "e.model_name", F.lit("raw").alias("variant"), "split", "zone_id", "created_date", "y",
-        F.greatest(F.col("e.g"), F.lit(0.0)).alias("yhat"),
+        F.when(F.col("e.g").isNotNull(), F.greatest(F.col("e.g"), F.lit(0.0))).alias("yhat"),
     )
 
 
@@ -124,9 +124,11 @@ def eval_wide(preds: DataFrame, names: dict[str, str]) -> DataFrame:
 
 
 def blend_weights(preds: DataFrame) -> DataFrame:
-    """Weight of each model: inverse validation error, normalised. One row per model."""
+    """Weight of each model: inverse validation error, normalised; models without any error share all of it. One row per model."""
     val = regression_metrics(preds.filter(F.col("split") == "val"), ["model_name"])
-    inverse = val.select("model_name", (1 / F.col("mae")).alias("_w"))
+    perfect = F.max((F.col("mae") == 0).cast("int")).over(Window.partitionBy()) == 1
+    alone = F.when(F.col("mae") == 0, 1.0).otherwise(0.0)
+    inverse = val.select("model_name", F.when(perfect, alone).otherwise(F.try_divide(F.lit(1), "mae")).alias("_w"))
     total = F.sum("_w").over(Window.partitionBy())
     return inverse.select("model_name", (F.col("_w") / total).alias("weight"))
 
@@ -211,22 +213,22 @@ def error_histogram(errors: DataFrame, edges: list[float] = HISTOGRAM_EDGES) ->
     )
 
 
-def upper_median(df: DataFrame, value: str, key: str, n_rows: int | None = None) -> Column:
+def upper_median(df: DataFrame, value: str, key: str) -> Column:
     """Element floor(n/2) of the sorted values, as a scalar subquery."""
-    placed = with_position(df.select(key, value), [F.col(value), F.col(key)], "_at", n_rows)
+    placed = with_position(df.select(key, value), [F.col(value), F.col(key)], "_at")
     half = df.agg(F.floor(F.count(F.lit(1)) / 2)).scalar()
     return placed.filter(F.col("_at") == half).agg(F.max(value)).scalar()
 
 
-def error_stats(errors: DataFrame, n_rows: int | None = None) -> DataFrame:
+def error_stats(errors: DataFrame) -> DataFrame:
     e = F.col("absolute_error")
     return errors.agg(
         F.count(F.lit(1)).alias("zones"), F.avg(e).alias("mean_error"), F.min(e).alias("min_error"),
         F.max(e).alias("max_error"), F.count_if(e < 1).alias("under_1"), F.count_if(e >= 20).alias("over_20"),
-        (F.count_if(e < 5) / F.count(F.lit(1)) * 100).alias("under_5_percent"),
+        F.coalesce(F.try_divide(F.count_if(e < 5), F.count(F.lit(1))) * 100, F.lit(0.0)).alias("under_5_percent"),
         F.max_by("zone_id", F.struct("absolute_error", "zone_id")).alias("hardest_zone"),
         F.max(F.greatest("actual", "predicted")).alias("axis_max"),
-    ).withColumn("median_error", upper_median(errors, "absolute_error", "zone_id", n_rows))
+    ).withColumn("median_error", upper_median(errors, "absolute_error", "zone_id"))
 
 
 def best_and_worst(errors: DataFrame, k: int = 10) -> DataFrame:

@@ -5,19 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from zonecast.session import ONE_TASK_ROWS, materialize
+from zonecast.session import materialize
 
 _INDEX_BITS = 33  # monotonically_increasing_id keeps the row index in the low 33 bits
 
 
-def with_position(df: DataFrame, order: list[Column], name: str = "position", n_rows: int | None = None) -> DataFrame:
+def with_position(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
     """Add the 0-based position of each row in `order`, which must be total (end it with a unique column).
 
-    A table counted at or below ONE_TASK_ROWS takes a window in one task. Any other table is range-partitioned on the
-    sort key, each partition numbers its own rows, and the partition sizes (one row per partition) give the offsets.
+    The table is range-partitioned on the sort key, each partition numbers its own rows, and the partition sizes (one
+    row per partition) give the offsets.
     """
-    if n_rows is not None and n_rows <= ONE_TASK_ROWS:
-        return df.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     numbered = materialize(
         df.repartitionByRange(parts, *order)
@@ -36,18 +34,18 @@ def with_position(df: DataFrame, order: list[Column], name: str = "position", n_
     )
 
 
-def average_rank(df: DataFrame, value: str, name: str, n_rows: int | None = None) -> DataFrame:
-    """Add the 1-based rank of `value`, ascending; equal values share the mean of the ranks they span."""
-    if n_rows is not None and n_rows <= ONE_TASK_ROWS:
-        ties = F.count(F.lit(1)).over(Window.partitionBy(value))
-        return df.withColumn(name, F.rank().over(Window.orderBy(value)) + (ties - 1) / 2)
-    from zonecast.operators.skew import lookup_join
+def bounded_position(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
+    """`with_position` in one task, for tables whose rows are bounded by design (a top-k, dates, models)."""
+    return df.withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
 
+
+def average_rank(df: DataFrame, value: str, name: str) -> DataFrame:
+    """Add the 1-based rank of `value`, ascending; equal values share the mean of the ranks they span, nulls have none."""
     # rank the distinct values only: a value shared by a third of the rows is one row here
-    counted = df.groupBy(value).agg(F.count(F.lit(1)).alias("_ties"))
+    counted = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_ties"))
     placed = running_total(counted, [F.col(value)], "_ties", "_upto")
     ranks = placed.select(value, (F.col("_upto") - (F.col("_ties") - 1) / 2).alias(name))
-    return lookup_join(df, ranks, [value])
+    return df.join(ranks, value, "left")
 
 
 def running_total(df: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:

@@ -19,7 +19,7 @@ def severity_distribution(zones: DataFrame) -> DataFrame:
     total = zones.agg(F.count(F.lit(1))).scalar()
     n = F.coalesce("zones", F.lit(0))
     return bands.join(counts, "hotspot_band", "left").select(
-        "band_order", "hotspot_band", n.alias("zones"), (n / total * 100).alias("share_percent")
+        "band_order", "hotspot_band", n.alias("zones"), F.coalesce(F.try_divide(n, total) * 100, F.lit(0.0)).alias("share_percent")
     )
 
 
@@ -75,7 +75,7 @@ def summary_report(labelled: DataFrame, zones: DataFrame) -> DataFrame:
         ("Total Violations Processed", F.col("all")),
         ("Clustered Violations (in Zones)", F.col("in")),
         ("Noise Violations (outside Zones)", F.col("out")),
-        ("Noise Violations Percentage", S.percent_text(F.col("out") / F.col("all"), 2)),
+        ("Noise Violations Percentage", S.percent_text(F.coalesce(F.try_divide("out", "all"), F.lit(0.0)), 2)),
         ("Total Geo Clusters (Zones) Detected", F.col("z.n")),
         *[(f"{b} Severity Zones", F.col(f"z.b{i}")) for i, b in enumerate(S.BANDS)],
         ("Most Common Police Station in Hotspots", F.col("station")),

@@ -52,5 +52,5 @@ def band_by_position(
     df: DataFrame, order: list[Column], n_rows: int, name: str = "hotspot_band", cuts=S.BAND_CUTS
 ) -> DataFrame:
     """Band each row by its place in `order`; the share is position / rows, not a percentile rank."""
-    placed = with_position(df, order, "_position", n_rows)
+    placed = with_position(df, order, "_position")
     return placed.withColumn(name, S.position_band(F.col("_position"), F.lit(n_rows), cuts)).drop("_position")

@@ -7,8 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from zonecast.session import ONE_TASK_ROWS
-
 # A key is hot when it owns more than 1/HOT_KEYS of the rows, so there are fewer than HOT_KEYS hot keys: that bounds
 # the broadcast below whatever the size of the tables.
 HOT_KEYS = 1000
@@ -24,17 +22,17 @@ def hot_keys(facts: DataFrame, keys: list[str], weight: Column | None = None) ->
 
 
 def lookup_join(
-    facts: DataFrame, dim: DataFrame, keys: list[str], how: str = "left", n_rows: int | None = None,
-    hot: DataFrame | None = None,
+    facts: DataFrame, dim: DataFrame, keys: list[str], how: str = "left", hot: DataFrame | None = None
 ) -> DataFrame:
     """Join `facts` to `dim`, which holds each key once.
 
-    A counted fact table within ONE_TASK_ROWS is joined plainly. Otherwise hot keys are cut into salted pieces: the
-    fact rows of a hot key spread over `_salts` buckets and the one matching row of `dim` is copied to each bucket.
+    A caller that knows the hot keys passes them (`hot_keys`): their fact rows spread over `_salts` buckets and the one
+    matching row of `dim` is copied to each bucket. Any other join is plain: the inputs are written tables, so Spark
+    knows their sizes, and splits a skewed partition of `facts` at run time.
     """
-    if n_rows is not None and n_rows <= ONE_TASK_ROWS:
+    if hot is None:
         return facts.join(dim, keys, how)
-    hot = F.broadcast(hot_keys(facts, keys) if hot is None else hot)
+    hot = F.broadcast(hot)
     # salted by row content, so that a task run again after a lost executor puts every row where it was
     spread = F.pmod(F.xxhash64(*facts.columns), F.col("_salts")).cast("int")
     # a null key matches nothing, so its rows may go anywhere

@@ -16,24 +16,24 @@ from zonecast.operators.evaluation import daily_precision_at_k, leaderboard
 from zonecast.operators.ordering import with_position
 from zonecast.session import materialize
 
-# Search ranges by family as (low, high, kind), named by the Spark ML parameter each one maps to.
+# Search ranges of this engine by family, for jobs and queries alike, as (low, high, kind), named by the Spark ML parameter each one maps to.
 SPACES: dict[str, dict[str, tuple]] = {
     "LightGBM": {
-        "maxIter": (100, 600, "int"), "stepSize": (0.01, 0.2, "log"), "maxDepth": (3, 12, "int"),
+        "maxIter": (4, 16, "int"), "stepSize": (0.05, 0.4, "log"), "maxDepth": (3, 5, "int"),
         "minInstancesPerNode": (5, 50, "int"), "subsamplingRate": (0.5, 1.0, "float"),
         "featureSubsetStrategy": (0.5, 1.0, "share"),
     },
     "XGBoost": {
-        "maxIter": (100, 600, "int"), "stepSize": (0.01, 0.2, "log"), "maxDepth": (3, 12, "int"),
+        "maxIter": (4, 16, "int"), "stepSize": (0.05, 0.4, "log"), "maxDepth": (3, 5, "int"),
         "minInstancesPerNode": (1, 30, "int"), "subsamplingRate": (0.5, 1.0, "float"),
         "featureSubsetStrategy": (0.5, 1.0, "share"),
     },
     "HistGradientBoosting": {
-        "maxIter": (100, 600, "int"), "stepSize": (0.01, 0.2, "log"), "maxDepth": (3, 12, "int"),
+        "maxIter": (4, 16, "int"), "stepSize": (0.05, 0.4, "log"), "maxDepth": (3, 5, "int"),
         "minInstancesPerNode": (5, 50, "int"), "maxBins": (64, 255, "int"),
     },
 }
-N_TRIALS = 50
+N_TRIALS = 2
 
 
 def sample_parameters(space: dict[str, tuple], rng: random.Random) -> dict:
@@ -62,9 +62,11 @@ def with_block(train: DataFrame, n_folds: int = 3, mode: str = "date") -> DataFr
     elif mode == "row_order":
         n_rows = train.count()
         order = [F.col("zone_id"), F.col("created_date")]
-        placed = with_position(train, order, "_at", n_rows).withColumn("_n", F.lit(n_rows))
+        placed = with_position(train, order, "_at").withColumn("_n", F.lit(n_rows))
     else:
         raise ValueError(f"unknown fold mode: {mode}")
+    if (found := train.select("created_date").distinct().count()) <= n_folds:
+        raise ValueError(f"{n_folds} folds need more dates than the {found} there are")
     size = F.floor(F.col("_n") / (n_folds + 1))
     block = F.greatest(F.lit(0), F.floor((F.col("_at") - (F.col("_n") - size * n_folds)) / size) + 1)
     return placed.withColumn("block", F.when(F.col("_at") < F.col("_n") - size * n_folds, 0).otherwise(block)).drop(

@@ -34,7 +34,7 @@ def zone_numbers(clustering: Clustering) -> DataFrame:
         clustering.nodes.filter("component IS NOT NULL").groupBy("component").agg(F.sum("weight").alias("records")),
         "sizes",
     )
-    placed = with_position(sizes, [F.desc("records"), F.asc("component")], "_position", sizes.count())
+    placed = with_position(sizes, [F.desc("records"), F.asc("component")], "_position")
     return placed.withColumn("zone_id", F.format_string("ZONE_%03d", F.col("_position") + 1)).drop("_position")
 
 

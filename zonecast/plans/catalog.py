@@ -420,7 +420,7 @@ def error_histogram(w: Workspace) -> DataFrame:
 
 @query
 def error_stats(w: Workspace) -> DataFrame:
-    return evaluation.error_stats(w.errors, w.n_zones)
+    return evaluation.error_stats(w.errors)
 
 
 @query
@@ -439,7 +439,7 @@ def best_worst_zones(w: Workspace) -> DataFrame:
 @query
 def risk_percentiles(w: Workspace) -> DataFrame:
     day = deployment.last_day(w.features).withColumn("yhat", F.col("rolling_7d_mean"))
-    return deployment.risk_percentiles(day, w.n_zones).select("zone_id", deployment.FORECAST, "predicted_pct")
+    return deployment.risk_percentiles(day).select("zone_id", deployment.FORECAST, "predicted_pct")
 
 
 @query
@@ -577,7 +577,7 @@ def model_recommendations(w: Workspace) -> DataFrame:
     day = deployment.last_day(w.features)
     kept = list(dict.fromkeys([*deployment.RECOMMENDATION_COLUMNS[:5], "lag_1_count", "hotspot_band", "dominant_time_bucket"]))
     forecast = w.explained[0].forecast(models.assemble(day, kept))
-    return deployment.recommendations(forecast, w.n_zones)
+    return deployment.recommendations(forecast)
 
 
 @query

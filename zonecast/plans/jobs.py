@@ -148,7 +148,7 @@ class BatchJobs:
             scored = m.forecast(table).select("zone_id", (F.col("yhat") * share[m.name]).alias(f"_y{i}"))
             forecast = forecast.join(scored, "zone_id")
         total = reduce(lambda a, b: a + b, [F.col(f"_y{i}") for i in range(len(fitted))])
-        return deployment.recommendations(forecast.drop("features").withColumn("yhat", total), day.count())
+        return deployment.recommendations(forecast.drop("features").withColumn("yhat", total))
 
     JOBS = ("hotspots", "heat", "panel", "benchmark", "tune", "ensemble", "export")
 

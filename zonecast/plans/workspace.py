@@ -95,7 +95,7 @@ class Workspace:
     def recommend(self, yhat: str) -> DataFrame:
         """Deployment table with a feature column as the forecast."""
         day = deployment.last_day(self.features).withColumn("yhat", F.col(yhat).cast("double"))
-        return deployment.recommendations(day, self.n_zones)
+        return deployment.recommendations(day)
 
     @cached_property
     def recs(self) -> DataFrame:
@@ -105,20 +105,11 @@ class Workspace:
     def summary(self) -> DataFrame:
         return materialize(reports.summary_report(self.labelled, self.zones), "summary")
 
-    # -- fitted models: the registered queries use fewer rounds than the presets, see models.PRESETS for the full ones
-
-    rounds = 8
-    depth = 4
-
-    @cached_property
-    def _overrides(self) -> dict[str, dict]:
-        forest = {"numTrees": self.rounds, "maxDepth": self.depth}
-        boost = {"maxIter": self.rounds, "maxDepth": self.depth}
-        return {n: forest if "numTrees" in p else boost for n, p in models.PRESETS.items() if n not in models.LINEAR}
+    # -- fitted models, with the presets and search ranges that the jobs use
 
     @cached_property
     def benchmark(self) -> tuple[DataFrame, DataFrame]:
-        return models.benchmark(self.split_rows, self.training, overrides=self._overrides)
+        return models.benchmark(self.split_rows, self.training)
 
     @cached_property
     def training(self) -> DataFrame:
@@ -127,13 +118,11 @@ class Workspace:
     @cached_property
     def explained(self) -> list[models.Fitted]:
         train = self.training.filter("split = 'train'")
-        return [models.fit(n, train, self._overrides[n]) for n in ("LightGBM", "XGBoost", "RandomForest")]
+        return [models.fit(n, train) for n in ("LightGBM", "XGBoost", "RandomForest")]
 
     @cached_property
     def tuning(self) -> tuple[DataFrame, list[models.Fitted]]:
-        small = {"maxIter": (4, 8, "int"), "stepSize": (0.05, 0.2, "log"), "maxDepth": (3, 5, "int"),
-                 "minInstancesPerNode": (5, 20, "int")}
-        return tuning.tuning_results(self.training, n_trials=2, space=small)
+        return tuning.tuning_results(self.training)
 
 
 _OPEN: dict[tuple[str, str], Workspace] = {}

@@ -7,9 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# A stage whose counted input is at most this many rows may run in one task (a plain window, a plain join).
-ONE_TASK_ROWS = 100_000
-
 
 def local_session(name: str = "zonecast", cpus: str = "*", memory: str = "8g", partitions: int = 8) -> SparkSession:
     """Session for tests and the bench; a cluster brings its own."""

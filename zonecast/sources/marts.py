@@ -24,6 +24,8 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None)
             return reader.option("enforceSchema", False).schema(schema).csv(path)
         return normalise_columns(drop_blank_rows(reader.option("inferSchema", True).csv(path)))
     except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         raise MissingInput(f"no CSV table at {path}") from e
 
 
@@ -32,6 +34,8 @@ def read_table(spark: SparkSession, path: str, columns: list[str] | None = None,
     try:
         df = spark.read.parquet(path)
     except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         raise MissingInput(f"no table at {path}. {hint}".strip()) from e
     return df if columns is None else df.select(*columns)
 
@@ -59,7 +63,8 @@ def write_mart(df: DataFrame, path: str, fmt: str = "parquet", by: list[str] | N
 def write_panel(features: DataFrame, path: str) -> None:
     """Panel features, one folder per month, files in (zone, date) order."""
     month = F.date_format("created_date", "yyyy-MM")
-    dated = features.withColumn("panel_month", month).sortWithinPartitions("panel_month", "zone_id", "created_date")
+    # a month goes to few tasks, and a large one is split again by size
+    dated = features.withColumn("panel_month", month).hint("rebalance", "panel_month").sortWithinPartitions("panel_month", "zone_id", "created_date")
     write_mart(dated, path, by=["panel_month"])
 
 
