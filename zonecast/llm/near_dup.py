@@ -251,7 +251,8 @@ def components(
     named = rows.filter("class IS NOT NULL").groupBy("class").agg(F.min("_key").alias("_class"))
     rows = materialize(rows.join(named, "class", "left").withColumn("_class", F.coalesce("_class", "_key")), "classes")
     units = _units(rows.filter("_class = _key AND n_shingles > 0"), most_shingles, most_classes)
-    texts = docs.select("_key", "text").join(units, "_key")
+    # units grow with the corpus: merged at every size, where a broadcast of small ones would change the plan as they grow
+    texts = docs.select("_key", "text").join(units.hint("merge"), "_key")
     found = materialize(_confirm(texts, threshold), "links")
     groups = smallest_reachable(found).select(F.col("node").alias("_class"), F.col("component").alias("_group"))
     rows = rows.select("_key", "n_shingles", "_class").join(groups, "_class", "left")
@@ -274,4 +275,4 @@ def drop_near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFra
     """One document of each component, with its columns as they came."""
     base = keyed(docs)
     found = components(base.drop("_row"), threshold)
-    return restored(base.join(found.filter("kept").select("_key"), "_key", "left_semi"), docs)
+    return restored(base.join(found.filter("kept").select("_key").hint("merge"), "_key", "left_semi"), docs)
