@@ -32,6 +32,7 @@ from zonecast.session import materialize, scratch_root
 MAGIC = b"PFORIDS1"
 BLOCK = 128
 PERCENTILE = 90
+SLICE = 4096
 _LANES = 32  # values packed together: 32 values of w bits fill w words
 
 
@@ -59,29 +60,41 @@ def _unpack(words: np.ndarray, width: int) -> np.ndarray:
 
 
 def encode_blocks(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    """minimum, width, exceptions and first byte of each block, and the parts of the payload."""
+    """minimum, width, exceptions and first byte of each block, and the parts of the payload.
+
+    Works on SLICE blocks at a time, so that its own arrays stay small beside the ids.
+    """
+    parts = [_encode_slice(ids[at : at + SLICE * BLOCK]) for at in range(0, len(ids), SLICE * BLOCK)] or [_encode_slice(ids)]
+    low, width, odd = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    size = width.astype("<u8") * np.uint64(BLOCK // 8)
+    start = np.cumsum(size, dtype="<u8") - size
+    return low, width, odd, start, [p[i] for i in (3, 4, 5) for p in parts]
+
+
+def _encode_slice(ids: np.ndarray) -> tuple:
+    """minimum, width and exceptions of each block; packed words, places and high bits as bytes."""
     n = -(-len(ids) // BLOCK)
     if len(ids) % BLOCK:
         ids = np.concatenate([ids, np.full(n * BLOCK - len(ids), ids[-1], "<u4")])
-    grid = ids.reshape(n, BLOCK).astype("<u4", copy=False)
+    grid = ids.reshape(n, BLOCK)
     low = grid.min(axis=1) if n else np.zeros(0, "<u4")
     grid = grid - low[:, None]
     # frexp's exponent of an integer is its number of bits (0 for 0)
     at = np.sort(grid, axis=1)[:, BLOCK * PERCENTILE // 100 - 1] if n else low
     width = np.frexp(at.astype(np.float64))[1].astype(np.uint8)
-    high = grid >> width.astype("<u4")[:, None]
-    row, place = np.nonzero((high > 0) & (width < 32)[:, None])
+    high = np.where((width < 32)[:, None], grid >> np.minimum(width, 31).astype("<u4")[:, None], 0)
+    row, place = np.nonzero(high)
     odd = np.bincount(row, minlength=n).astype(np.uint8)
-    size = width.astype(np.uint64) * (BLOCK // 8)
-    start = np.concatenate([[0], np.cumsum(size)[:-1]]).astype("<u8") if n else np.zeros(0, "<u8")
-    payload = np.zeros(int(size.sum()) // 4, "<u4")
+    words = width.astype(np.int64) * (BLOCK // 32)
+    start = np.cumsum(words) - words
+    payload = np.zeros(int(words.sum()), "<u4")
     for w in np.unique(width):
         if w:
             rows = np.nonzero(width == w)[0]
             part = grid[rows] & np.uint32((1 << int(w)) - 1)
             packed = _pack(part.reshape(-1, _LANES), int(w)).reshape(len(rows), -1)
-            payload[(start[rows] // 4).astype(np.int64)[:, None] + np.arange(packed.shape[1])] = packed
-    return low, width, odd, start, [payload.tobytes(), place.astype(np.uint8).tobytes(), high[row, place].astype("<u4").tobytes()]
+            payload[start[rows][:, None] + np.arange(packed.shape[1])] = packed
+    return low, width, odd, payload.tobytes(), place.astype(np.uint8).tobytes(), high[row, place].astype("<u4").tobytes()
 
 
 def encode_shard(doc_ids: list[int | None], parts: list[bytes]) -> bytes:
