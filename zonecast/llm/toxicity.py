@@ -65,7 +65,7 @@ class Featurizer:
                 self._words[word] = known = tuple(known)
             if known:
                 found.update(known)
-        return np.array(sorted(found), np.int64)
+        return np.array(sorted(found), np.int32)
 
 
 def softplus(z: np.ndarray) -> np.ndarray:
@@ -118,9 +118,12 @@ def fit(positive: list[str], unlabelled: list[str], prior: float, features: int
     if not positive or not unlabelled or not 0 < prior < 1:
         p = min(max(prior, 1e-6), 1 - 1e-6)
         return Model(np.zeros(0, np.int64), np.zeros((1, 0)), np.array([np.log(p / (1 - p))]))
-    featurize = Featurizer()
+    featurize = Featurizer(most=30_000)  # a word has some 30 features: more words would take the driver's memory
     rows = [[featurize(t) for t in part] for part in (positive, unlabelled)]
-    n = [np.bincount(np.concatenate(part), minlength=1 << HASH_BITS) for part in rows]
+    n = [np.zeros(1 << HASH_BITS, np.int64) for _ in rows]
+    for counts, part in zip(n, rows):
+        for found in part:
+            counts[found] += 1
     share = [(c + 0.5) / (len(part) + 1) for c, part in zip(n, rows)]
     # log ratio weighted by how often it is seen, as a z-score
     strength = np.abs(np.log(share[0] / share[1])) * np.sqrt(np.minimum(n[0] + n[1] * len(positive) / len(unlabelled), 200))
