@@ -105,10 +105,12 @@ def judge(docs: DataFrame, host: str = "source", limit: float = HOST_LIMIT) -> D
 
 
 def keep_good(docs: DataFrame, host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
-    """The documents that pass, with their columns as they came. The text is read and written once."""
+    """The documents that pass, with their columns as they came."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     view = docs.select(row, F.col("text"), F.col(f"`{host}`").alias("host"))
-    passed = materialize(document_stats(view).filter("NOT base_failed").select("_row", "host"), "passed")
+    # written before the filter: the optimizer would copy the statistics into its condition, words split anew for each window
+    judged = materialize(document_stats(view).drop("text"), "judged")
+    passed = judged.filter("NOT base_failed").select("_row", "host")
     seen = docs.groupBy(F.col(f"`{host}`").alias("host")).agg(F.count(F.lit(1)).alias("host_docs"))
     good = passed.groupBy("host").agg(F.count(F.lit(1)).alias("_good"))
     counts = seen.filter("host IS NOT NULL").join(good, "host", "left").select(
