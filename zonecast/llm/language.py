@@ -78,7 +78,9 @@ def profiles(docs: DataFrame, top: int = TOP, longest: int = LONGEST) -> DataFra
     cuts = []
     for k in range(1, longest + 1):
         first, last = (2, F.length("w") - 1) if k == 1 else (1, F.length("w") - k + 1)
-        cuts.append(F.transform(F.sequence(F.lit(first), last), lambda i, k=k: F.substring("w", i, F.lit(k))))
+        # a sequence would count down in a word shorter than k
+        starts = F.when(last >= first, F.sequence(F.lit(first), last)).otherwise(F.array().cast("array<int>"))
+        cuts.append(F.transform(starts, lambda i, k=k: F.substring("w", i, F.lit(k))))
     grams = marked.select("lang", "n", F.explode(F.flatten(F.array(*cuts))).alias("gram"))
     grams = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     # the limit on the rank is applied in each task before the shuffle by language
