@@ -10,7 +10,8 @@ _ODD_SPACE = re.compile("[\x1c-\x1f\x85]")
 _PLAIN_LINES = re.compile("[\n!-~¡-ɏ]*")
 #: The tokenizer's own pattern, and line ends.
 _PIECES = r"\n|'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
-_MARK = "<|endoftext|>"
+#: Stands between pieces that are encoded together, and has one id of its own.
+_BAR = "|"
 
 
 class WordEncoder:
@@ -28,7 +29,7 @@ class WordEncoder:
 
         self._array = np.array
         self._tokenizer = Tokenizer.from_file(path)
-        self._mark = self._tokenizer.token_to_id(_MARK)
+        (self._bar,) = self._tokenizer.encode(_BAR, add_special_tokens=False).ids
         self._cut = regex.compile(_PIECES).findall
         self._words: dict[str, bytes] = {}
         self._pieces: dict[str, bytes] = {}
@@ -73,15 +74,18 @@ class WordEncoder:
             start = end + 1
 
     def _encode(self, new: list[str]) -> None:
-        """Encode pieces many at a time, told apart by the mark, which the tokenizer cuts out before anything else."""
+        """Encode pieces many at a time, told apart by the bars between them; a piece that has one itself is encoded alone."""
+        self._pieces.update((piece, self._ids(piece)) for piece in new if _BAR in piece)
+        new = [piece for piece in new if _BAR not in piece]
         for at in range(0, len(new), 512):
             part = new[at : at + 512]
-            ids = self._tokenizer.encode_batch_fast([_MARK.join(part)], add_special_tokens=False)[0].ids
-            raw, start = self._array(ids, dtype="<u4").tobytes(), 0
-            ends = [i for i, x in enumerate(ids) if x == self._mark] + [len(ids)]
+            found = self._tokenizer.encode_batch_fast([f" {_BAR} ".join(part)], add_special_tokens=False)[0].ids
+            ids = self._array(found, dtype="<u4")
+            raw, start = ids.tobytes(), 0
+            ends = (4 * (ids == self._bar).nonzero()[0]).tolist() + [len(raw)]
             for piece, end in zip(part, ends, strict=True):
-                self._pieces[piece] = raw[4 * start : 4 * end]
-                start = end + 1
+                self._pieces[piece] = raw[start:end]
+                start = end + 4
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
