@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from zonecast.llm import (
-    decontaminate, language, licenses, near_dup, oracle, packing, quality_cnn, quality_rules, substring_dedup, token_files, toxicity,
+    alignment, conversations, decontaminate, html_text, language, licenses, near_dup, oracle, packing, quality_cnn, quality_rules,
+    substring_dedup, token_files, toxicity,
 )
 from zonecast.llm.common import crc_fold, table
 
@@ -74,6 +75,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.select("doc_id", held.alias("held_out"), "text"), model)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(table(spark, sf_dir, "conversations"))
+
+
+def op12_cross_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    byte_level, pieces = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.cross_alignment(table(spark, sf_dir, "documents"), byte_level, pieces)
+
+
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_decontaminate": op2_decontaminate,
@@ -85,6 +99,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_cnn": op8_quality_cnn,
     "op9_quality_rules": op9_quality_rules,
     "op10_toxicity": op10_toxicity,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_cross_alignment": op12_cross_alignment,
+    "op13_html_text": op13_html_text,
 }
 
 SQL: dict[str, str] = {
