@@ -78,6 +78,9 @@ def test_tokens_are_those_of_the_libraries(both):
     text = "Ein <|endoftext|> Wort, déjà vu."
     (a,), (b,) = both.encode([text])
     assert a and 50256 not in a
+    texts = [t for _, t in HARD] + [text, "x" * 600 + " y", " " * 700 + "z", "don't WE'LL 12 3,4.5 é\u0301 \u00a0 a\n\n b"]
+    for t in texts:
+        assert both._left(" " + t) == both.left.encode(" " + t, add_special_tokens=False).ids
     assert b"".join(both.left_bytes[i] for i in a) == b" " + text.encode() == b"".join(both.right_bytes[i] for i in b)
     assert both.encode(["two  spaces"])[0] != [[]] and both.encode([None, ""]) == ([[], []], [[], []])
 

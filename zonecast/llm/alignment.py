@@ -14,6 +14,8 @@ null or repeated ids are rows of their own, and each counts as a document. Other
 from __future__ import annotations
 
 import hashlib
+import itertools
+import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +28,8 @@ HOT = 1 << 17
 #: Documents aligned at once.
 BATCH = 64
 
+_LONG_RUN = re.compile(r"\S{500}|\s{500}")
+
 _SIDES: dict[tuple[str, str], "Sides"] = {}
 
 
@@ -46,7 +50,9 @@ class Sides:
         import os
 
         import numpy as np
+        import public_tokenizers
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one task has one core
@@ -57,6 +63,10 @@ class Sides:
         entries = sorted(self.left.get_vocab(with_added_tokens=True).items(), key=lambda e: e[1])
         # entries that are no byte-level text are never the token of a plain text
         self.left_bytes = [bytes(byte.get(c, 0) for c in token) for token, _ in entries]
+        # the ids of this vocabulary are the order of its merges, which is all that the faster library needs
+        special = self.left.get_added_tokens_decoder()
+        ranks = {b: i for i, b in enumerate(self.left_bytes) if i not in special}
+        self.fast = tiktoken.Encoding("left", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         size = self.right.get_piece_size()
         self.right_bytes = [self._piece(i) for i in range(size)]
         self.left_sizes = np.array([len(b) for b in self.left_bytes], dtype=np.int64)
@@ -69,11 +79,17 @@ class Sides:
         piece = self.right.id_to_piece(i)
         return bytes([int(piece[3:-1], 16)]) if self.right.is_byte(i) else piece.replace("▁", " ").encode()
 
+    def _left(self, text: str) -> list[int]:
+        """Ids of the byte-level side; a run without white space takes the faster library the square of its length."""
+        if _LONG_RUN.search(text):
+            return self.left.encode(text, add_special_tokens=False).ids
+        return self.fast.encode_ordinary(text)
+
     def encode(self, texts: list[str | None]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of both sides; none on either side for a text that one of them does not give back."""
         at = [i for i, t in enumerate(texts) if t]
         found = [texts[i] for i in at]
-        left = [e.ids for e in self.left.encode_batch_fast([" " + t for t in found], add_special_tokens=False)]
+        left = [self._left(" " + t) for t in found]
         right = self.right.encode(found, out_type=int, num_threads=1) if found else []
         a, b = [[] for _ in texts], [[] for _ in texts]
         for i, text, x, y in zip(at, found, left, right, strict=True):
@@ -95,7 +111,7 @@ def _line(ids, sizes):
     import numpy as np
 
     doc = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
-    flat = np.fromiter((i for x in ids for i in x), dtype=np.int64, count=len(doc))
+    flat = np.fromiter(itertools.chain.from_iterable(ids), dtype=np.int64, count=len(doc))
     ends = np.cumsum(sizes[flat])
     return doc, flat, ends - sizes[flat], ends
 
