@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from oracle.fragments import RISK_ORDER, STATIC, W, big, compose, fix, half_even, norm, short_junction
+from zonecast.operators.models import DESCRIPTIONS
+from zonecast.operators.panel import FEATURES
 
 TYPES = """CASE WHEN h>=8 AND h<11 THEN 'morning_peak' WHEN h>=11 AND h<17 THEN 'midday' WHEN h>=17 AND h<20
   THEN 'evening_peak' ELSE 'night' END"""
@@ -96,6 +98,14 @@ _SUMMARY = " UNION ALL ".join(
       (SELECT count(*) AS n FROM zones) z, (SELECT * FROM zones WHERE ord=1) z1""" for n, v in _METRIC_ROWS
 )
 
+_ABSOLUTE = ", ".join(f"abs(CAST({f} AS DOUBLE))" for f in FEATURES)
+_SIZES = f"""SELECT feature, avg(v) AS mean, max(v) AS peak FROM (SELECT unnest({FEATURES}) AS feature, unnest([{_ABSOLUTE}]) AS v FROM modl) GROUP BY 1"""
+_SHARES = f"""SELECT feature, model_name, importance, avg(importance) OVER (PARTITION BY feature) AS average FROM (
+      SELECT feature, 'mean' AS model_name, mean/sum(mean) OVER () AS importance FROM ({_SIZES})
+      UNION ALL SELECT feature, 'peak', peak/sum(peak) OVER () FROM ({_SIZES}))"""
+_TOP = f"""SELECT feature, average, row_number() OVER (ORDER BY average DESC, feature) AS place FROM (
+      SELECT feature, max(average) AS average FROM ({_SHARES}) GROUP BY 1)"""
+_DESCRIBED = "CASE feature " + " ".join(f"WHEN '{f}' THEN '{text}'" for f, text in DESCRIPTIONS.items()) + " END"
 SELECTS: dict[str, str] = {
     "event_time_parts": f"""SELECT event_id, CAST(l AS DATE) AS created_date, h AS created_hour, {TYPES} AS time_bucket,
       {big('CASE WHEN h>=8 AND h<11 THEN 1 ELSE 0 END')} AS is_morning_peak, {big('CASE WHEN h>=17 AND h<20 THEN 1 ELSE 0 END')} AS is_evening_peak,
@@ -259,7 +269,49 @@ SELECTS: dict[str, str] = {
       coalesce(r.top_police_station, z.top_police_station, '—') AS police_station, {_fixes('actual predicted absolute_error')},
       CASE WHEN manpower_estimate>0 THEN CAST(manpower_estimate AS VARCHAR) ELSE '0 officers' END AS manpower,
       coalesce(time_window_to_watch,'—') AS watch_window FROM err e LEFT JOIN recs r ON r.zone_id=e.zone_id LEFT JOIN zones z ON z.zone_id=e.zone_id""",
-    "sorted_by_text_number": "SELECT entity_name, CAST(total_violations AS VARCHAR) AS total_text, global_rank FROM ent",
+    "sorted_by_text_number": """SELECT entity_name, CAST(total_violations AS VARCHAR) AS total_text, global_rank,
+      row_number() OVER (ORDER BY total_violations DESC, CAST(total_violations AS VARCHAR) DESC, global_rank)-1 AS position FROM ent""",
+    "ordered_marts": f"""SELECT 'zones' AS mart, zone_id, row_number() OVER (ORDER BY hotspot_score DESC, total_violations DESC, zone_id)-1 AS position
+      FROM zones UNION ALL SELECT 'recommendations', zone_id, row_number() OVER (ORDER BY {RISK_ORDER})-1 FROM recs""",
+    "top_allocations": f"""SELECT * FROM (SELECT row_number() OVER (ORDER BY {RISK_ORDER}) AS place, zone_id, string_split(zone_name,' / ')[1] AS short_name,
+      predicted_risk_band, {_bigs('officers_assigned')}, CASE WHEN trucks_assigned>0 THEN 1::BIGINT ELSE 0::BIGINT END AS towed,
+      {big('floor(officers_assigned/req*100+0.5)')} AS coverage_pct FROM alloc WHERE officers_assigned>0) WHERE place<=6""",
+    "saturated_fits": "SELECT day_of_week, count(*) AS n, " + ", ".join(
+        f"{fix('avg(daily_violation_count)')} AS {m}" for m in ("poisson", "tweedie", "extra_trees", "forest", "boosted")
+    ) + " FROM feat GROUP BY day_of_week",
+    "blend_search": f"""SELECT trial, 0::BIGINT AS rounds, folds, {fix('score')} AS score,
+      row_number() OVER (ORDER BY folds DESC, score DESC, trial) AS place FROM (
+      SELECT trial, CASE WHEN r2<=13 THEN 3 WHEN r1<=25 THEN 2 ELSE 1 END::BIGINT AS folds, round(CASE WHEN r2<=13 THEN (p1+p2+p3)/3
+        WHEN r1<=25 THEN (p1+p2)/2 ELSE p1 END*1e9)/1e9 AS score FROM (
+      SELECT *, CASE WHEN r1<=25 THEN row_number() OVER (ORDER BY r1<=25 DESC, round((p1+p2)/2*1e9)/1e9 DESC, trial) END AS r2 FROM (
+      SELECT *, row_number() OVER (ORDER BY round(p1*1e9)/1e9 DESC, trial) AS r1 FROM (
+      SELECT trial, max(p) FILTER (block=1) AS p1, max(p) FILTER (block=2) AS p2, max(p) FILTER (block=3) AS p3 FROM (
+      SELECT trial, block, coalesce(CAST(sum(hits) AS DOUBLE)/(10*count(hits)),0) AS p FROM (
+      SELECT trial, block, created_date, CASE WHEN count(*)>=10 AND max(y)<>0 THEN sum(CASE WHEN ry<=10 AND rp<=10 THEN 1 ELSE 0 END) END AS hits FROM (
+      SELECT *, row_number() OVER (PARTITION BY trial, created_date ORDER BY y DESC, zone_id DESC) AS ry,
+        row_number() OVER (PARTITION BY trial, created_date ORDER BY yhat DESC, zone_id DESC) AS rp FROM (
+      SELECT t.i AS trial, b.block, m.created_date, m.zone_id, CAST(m.next_day_violation_count AS DOUBLE) AS y,
+        t.i/49e0*m.lag_1_count+(1e0-t.i/49e0)*m.rolling_7d_mean AS yhat FROM modl m JOIN (
+        SELECT created_date, CASE WHEN a<n-3*(n//4) THEN 0 ELSE (a-(n-3*(n//4)))//(n//4)+1 END AS block FROM (
+          SELECT created_date, row_number() OVER (ORDER BY created_date)-1 AS a, count(*) OVER () AS n FROM spd WHERE split='train')) b
+        ON b.created_date=m.created_date, range(50) t(i) WHERE b.block>0))
+      GROUP BY 1,2,3) GROUP BY 1,2) GROUP BY 1))))""",
+    "attribution_fixed_tree": f"""SELECT zone_id, created_date, {fix('e0')} AS base, {fix('(el-e0+ef-em)/2')} AS lag_part, {fix('(em-e0+ef-el)/2')} AS mean_part,
+      {fix('ef')} AS output FROM (SELECT zone_id, created_date, (na*va+nb*vb+nc*vc+nd*vd)/(na+nb+nc+nd) AS e0,
+      CASE WHEN lag<=l THEN (na*va+nb*vb)/(na+nb) WHEN lag<=2*l THEN vc ELSE vd END AS el,
+      (na+nb)/(na+nb+nc+nd)*CASE WHEN mean<=m THEN va ELSE vb END+(nc*vc+nd*vd)/(na+nb+nc+nd) AS em,
+      CASE WHEN lag<=l THEN CASE WHEN mean<=m THEN va ELSE vb END WHEN lag<=2*l THEN vc ELSE vd END AS ef
+      FROM (SELECT *, CAST(count(*) FILTER (lag<=l AND mean<=m) OVER () AS DOUBLE) AS na, coalesce(avg(y) FILTER (lag<=l AND mean<=m) OVER (),0) AS va,
+        CAST(count(*) FILTER (lag<=l AND mean>m) OVER () AS DOUBLE) AS nb, coalesce(avg(y) FILTER (lag<=l AND mean>m) OVER (),0) AS vb,
+        CAST(count(*) FILTER (lag>l AND lag<=2*l) OVER () AS DOUBLE) AS nc, coalesce(avg(y) FILTER (lag>l AND lag<=2*l) OVER (),0) AS vc,
+        CAST(count(*) FILTER (lag>2*l) OVER () AS DOUBLE) AS nd, coalesce(avg(y) FILTER (lag>2*l) OVER (),0) AS vd
+      FROM (SELECT *, avg(lag) OVER () AS l, floor(avg(mean) OVER ()*1e6)/1e6 AS m FROM (
+        SELECT f.zone_id, f.created_date, CAST(lag_1_count AS DOUBLE) AS lag, rolling_7d_mean AS mean, CAST(next_day_violation_count AS DOUBLE) AS y
+        FROM modl f JOIN spd s ON s.created_date=f.created_date WHERE s.split='train'))))""",
+    "importance_shares": f"""SELECT feature, model_name, {_fixes('importance average')}, {_DESCRIBED} AS description FROM ({_SHARES})""",
+    "top_features": f"""SELECT feature, {fix('average')} AS average, place, {big('place<=10')} AS in_10, {big('place<=5')} AS in_5 FROM ({_TOP}) WHERE place<=15""",
+    "leading_shares": f"""SELECT model_name, arg_max(feature, (importance, feature)) AS leading_feature FROM ({_SHARES})
+      WHERE feature IN (SELECT feature FROM ({_TOP}) WHERE place<=10) GROUP BY 1""",
 }
 
 

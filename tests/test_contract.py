@@ -4,7 +4,9 @@ import pytest
 
 import __spark_entry__ as entry
 from conftest import SF_DIR
+from oracle.queries import oracle_sql as base_sql
 from oracle_check import connect, difference
+from zonecast.plans.catalog import QUERIES
 
 SQL = entry.oracle_sql()
 FITTED = {
@@ -19,7 +21,8 @@ def engine():
 
 
 def test_only_fitted_models_have_no_twin():
-    assert set(entry.queries()) - set(SQL) == FITTED and set(SQL) <= set(entry.queries())
+    assert set(QUERIES) - set(base_sql()) == FITTED and set(base_sql()) <= set(QUERIES)
+    assert set(SQL) <= set(entry.queries()) and set(QUERIES) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

@@ -125,6 +125,15 @@ def allocate(recs: DataFrame, officers: int, trucks: int) -> DataFrame:
     )
 
 
+def top_allocations(plan: DataFrame, k: int = 6) -> DataFrame:
+    """The first `k` served zones in risk order with their place, short name and what they get."""
+    first = plan.orderBy(*risk_order()).limit(k)
+    return bounded_position(first, risk_order(), "place").select(
+        (F.col("place") + 1).alias("place"), "zone_id", S.head_of_name(F.col("zone_name")).alias("short_name"), "predicted_risk_band",
+        "officers_assigned", (F.col("trucks_assigned") > 0).cast("int").alias("towed"), "coverage_pct",
+    )
+
+
 def coverage(recs: DataFrame, officers: int, trucks: int, historical_pct: float = 42.5) -> DataFrame:
     """Share of the forecast covered by the allocation, against a random patrol and a fixed historical plan."""
     plan = allocate(recs, officers, trucks)

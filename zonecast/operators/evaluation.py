@@ -61,10 +61,27 @@ def regression_metrics(preds: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def _leaders(preds: DataFrame, value: str, day: list[str], k: int) -> DataFrame:
-    # row_number below a constant lets each map task keep k rows per day before the exchange
-    rank = F.row_number().over(Window.partitionBy(*day).orderBy(F.desc(value), F.desc("zone_id")))
-    return preds.select(*day, "zone_id", value).withColumn("_rank", rank).filter(F.col("_rank") <= k)
+def day_metrics(preds: DataFrame, by: list[str], k: int) -> DataFrame:
+    """A row per day: zones, hits among the `k` largest true and forecast values, and sums of errors.
+
+    One exchange of the forecasts: both orders and all sums of a day are taken where its zones are. A day that cannot count (fewer
+    than `k` zones or no event) has null hits.
+    """
+    day = [*by, "created_date"]
+    place = lambda value: F.row_number().over(Window.partitionBy(*day).orderBy(F.desc(value), F.desc("zone_id")))
+    ranked = preds.select(*day, "zone_id", "y", "yhat").withColumns({"_true": place("y"), "_guess": place("yhat")})
+    error = F.col("yhat") - F.col("y")
+    both = (F.col("_true") <= k) & (F.col("_guess") <= k)
+    counts = (F.count(F.lit(1)) >= k) & (F.max("y") != 0)
+    return ranked.groupBy(*day).agg(
+        F.when(counts, F.count_if(both)).alias("_hits"), F.count(error).alias("_n"),
+        F.sum(F.abs(error)).alias("_absolute"), F.sum(error * error).alias("_square"),
+    )
+
+
+def _precision(k: int) -> Column:
+    # whole hits are summed and divided once, so the mean does not depend on the order of the days
+    return F.coalesce(F.sum("_hits") / (F.count("_hits") * k), F.lit(0.0)).alias("p10")
 
 
 def daily_precision_at_k(preds: DataFrame, by: list[str], k: int = 10, per_day: bool = False) -> DataFrame:
@@ -72,23 +89,17 @@ def daily_precision_at_k(preds: DataFrame, by: list[str], k: int = 10, per_day:
 
     Days with fewer than k zones or without any event do not count; with no day left the mean is 0.
     """
-    day = [*by, "created_date"]
-    stats = preds.groupBy(*day).agg(F.count(F.lit(1)).alias("_zones"), F.max("y").alias("_top"))
-    true = _leaders(preds, "y", day, k).select(*day, "zone_id")
-    guess = _leaders(preds, "yhat", day, k).select(*day, "zone_id")
-    hits = true.join(guess, [*day, "zone_id"]).groupBy(*day).agg(F.count(F.lit(1)).alias("_hits"))
-    counts = (F.col("_zones") >= k) & (F.col("_top") != 0)
-    daily = stats.join(hits, day, "left").withColumn("_hits", F.when(counts, F.coalesce("_hits", F.lit(0))))
+    daily = day_metrics(preds, by, k)
     if per_day:
-        return daily.filter("_hits IS NOT NULL").select(*day, (F.col("_hits") / float(k)).alias("precision"))
-    # whole hits are summed and divided once, so the mean does not depend on the order of the days
-    mean = F.sum("_hits") / (F.count("_hits") * k)
-    return daily.groupBy(*by).agg(F.coalesce(mean, F.lit(0.0)).alias("p10"))
+        return daily.filter("_hits IS NOT NULL").select(*by, "created_date", (F.col("_hits") / float(k)).alias("precision"))
+    return daily.groupBy(*by).agg(_precision(k))
 
 
 def metrics_long(preds: DataFrame, k: int = 10) -> DataFrame:
-    by = [*MODEL_KEY, "split"]
-    return regression_metrics(preds, by).join(daily_precision_at_k(preds, by, k), by)
+    """Errors and daily precision of each model, variant and split from one exchange of the forecasts."""
+    return day_metrics(preds, [*MODEL_KEY, "split"], k).groupBy(*MODEL_KEY, "split").agg(
+        (F.sum("_absolute") / F.sum("_n")).alias("mae"), F.sqrt(F.sum("_square") / F.sum("_n")).alias("rmse"), _precision(k)
+    )
 
 
 def leaderboard(preds: DataFrame, k: int = 10, digits: int = 4) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonecast.functions import scalars as S
+from zonecast.operators.ordering import with_position
 from zonecast.operators.scoring import log_minmax
 
 MAP_COLUMNS = [
@@ -112,13 +113,12 @@ def zone_inspector(errors: DataFrame, recs: DataFrame, zones: DataFrame) -> Data
     )
 
 
-def sort_by_any(df: DataFrame, column: str, descending: bool = False) -> DataFrame:
-    """Sort as numbers where the text (without thousands commas) parses, then as text."""
-    number = F.try_cast if hasattr(F, "try_cast") else None
+def sort_by_any(df: DataFrame, column: str, key: str, descending: bool = False) -> DataFrame:
+    """Add `position`, the place from 0 in the order of `column`: as numbers where the text (without thousands commas) parses, then as text.
+
+    `key` is unique and breaks ties.
+    """
     text = F.col(column).cast("string")
-    parsed = F.regexp_replace(text, ",", "").try_cast("double") if number is None else number(
-        F.regexp_replace(text, ",", ""), "double"
-    )
-    keys = [parsed, text]
-    order = [k.desc_nulls_last() if descending else k.asc_nulls_last() for k in keys]
-    return df.orderBy(*order)
+    parsed = F.regexp_replace(text, ",", "").try_cast("double")
+    order = [k.desc_nulls_last() if descending else k.asc_nulls_last() for k in (parsed, text)]
+    return with_position(df, [*order, F.col(key)])

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import json
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
-from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
-from pyspark.ml.feature import MinMaxScaler, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, RandomForestRegressor
+from pyspark.ml import Estimator, Model, PipelineModel
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from zonecast.operators import extra_trees, linear
 from zonecast.operators.evaluation import baseline_predictions, leaderboard
 from zonecast.operators.panel import FEATURES, TARGET
 from zonecast.session import materialize
@@ -20,43 +23,43 @@ from zonecast.session import materialize
 SEED = 42
 LINEAR = ("Poisson Regressor", "Tweedie (p=1.5)")
 
-# Model families and this engine's own settings, the same in jobs and queries. They are smaller than the published ones
-# of the libraries the families are named after: Spark grows boosted trees one after the other, a job or more a level.
+# Model families with the published settings, in terms of Spark ML. Boosters that grow leaf by leaf are
+# given the depth that holds as many leaves; Spark's trees stop at depth 30.
 PRESETS: dict[str, dict] = {
-    "Poisson Regressor": {"regParam": 0.1, "maxIter": 500},
-    "Tweedie (p=1.5)": {"regParam": 0.1, "maxIter": 500},
-    "ExtraTrees": {"numTrees": 20, "maxDepth": 8, "featureSubsetStrategy": "onethird"},
-    "RandomForest": {"numTrees": 20, "maxDepth": 8, "featureSubsetStrategy": "all"},
-    "HistGradientBoosting": {"maxIter": 12, "stepSize": 0.2, "maxDepth": 4, "maxBins": 255, "minInstancesPerNode": 20},
-    "LightGBM": {"maxIter": 12, "stepSize": 0.15, "maxDepth": 4, "maxBins": 255, "minInstancesPerNode": 20},
-    "XGBoost": {"maxIter": 12, "stepSize": 0.15, "maxDepth": 5, "maxBins": 256},
-    "CatBoost": {"maxIter": 12, "stepSize": 0.15, "maxDepth": 5, "maxBins": 64},
+    "Poisson Regressor": {"power": 1.0, "alpha": 0.1, "max_iter": 500},
+    "Tweedie (p=1.5)": {"power": 1.5, "alpha": 0.1, "max_iter": 500},
+    "ExtraTrees": {"numTrees": 200, "maxDepth": 30},
+    "RandomForest": {"numTrees": 200, "maxDepth": 30, "featureSubsetStrategy": "all"},
+    "HistGradientBoosting": {"maxIter": 300, "stepSize": 0.1, "maxDepth": 5, "maxBins": 255, "minInstancesPerNode": 20},
+    "LightGBM": {"maxIter": 300, "stepSize": 0.05, "maxDepth": 6, "maxBins": 255, "minInstancesPerNode": 20},
+    "XGBoost": {"maxIter": 300, "stepSize": 0.05, "maxDepth": 7, "maxBins": 256},
+    "CatBoost": {"maxIter": 300, "stepSize": 0.05, "maxDepth": 7, "maxBins": 254},
 }
 TUNED = ("LightGBM", "XGBoost", "HistGradientBoosting")
 
 
-def build_model(name: str, params: dict | None = None) -> Estimator:
+@dataclass(frozen=True)
+class Own:
+    """A family that this library fits itself: `fit` has the shape of a Spark estimator's."""
+
+    train: Callable
+    params: dict
+
+    def fit(self, rows: DataFrame):
+        return self.train(rows, **self.params)
+
+
+def build_model(name: str, params: dict | None = None) -> Estimator | Own:
     """Estimator of a family; `params` override the preset. Unknown names raise ValueError."""
     if name not in PRESETS:
         raise ValueError(f"unknown model: {name}")
     chosen = {**PRESETS[name], **(params or {})}
-    common = {"labelCol": "label", "featuresCol": "features"}
-    if name == "Poisson Regressor":
-        return _scaled(GeneralizedLinearRegression(family="poisson", link="log", **common, **chosen))
-    if name == "Tweedie (p=1.5)":
-        # a power link of 0 is the log link; the default link of this family is another one
-        return _scaled(GeneralizedLinearRegression(family="tweedie", variancePower=1.5, linkPower=0.0, **common, **chosen))
+    if name in LINEAR:
+        return Own(linear.fit, chosen)
     if name == "ExtraTrees":
-        return RandomForestRegressor(bootstrap=False, seed=SEED, **common, **chosen)
-    if name == "RandomForest":
-        return RandomForestRegressor(seed=SEED, **common, **chosen)
-    return GBTRegressor(seed=SEED, **common, **chosen)
-
-
-def _scaled(linear: Estimator) -> Pipeline:
-    """Linear models see inputs scaled to 0..1 on the training rows."""
-    linear.setFeaturesCol("scaled")
-    return Pipeline(stages=[MinMaxScaler(inputCol="features", outputCol="scaled"), linear])
+        return Own(extra_trees.fit, {"seed": SEED, **chosen})
+    kind = RandomForestRegressor if name == "RandomForest" else GBTRegressor
+    return kind(seed=SEED, labelCol="label", featuresCol="features", **chosen)
 
 
 def assemble(rows: DataFrame, keep: list[str]) -> DataFrame:
@@ -75,7 +78,7 @@ def training_table(split_rows: DataFrame) -> DataFrame:
 class Fitted:
     name: str
     variant: str
-    model: Model
+    model: Model | linear.LinearModel | extra_trees.ExtraTreesModel
     train_seconds: float
 
     def forecast(self, table: DataFrame) -> DataFrame:
@@ -83,7 +86,7 @@ class Fitted:
         raw = F.col("prediction")
         value = F.expm1(raw) if self.variant == "log1p" else raw
         scored = self.model.transform(table).withColumn("yhat", F.greatest(value, F.lit(0.0)))
-        return scored.drop("features", "scaled", "label", "prediction")
+        return scored.drop("features", "label", "prediction")
 
     def predictions(self, table: DataFrame) -> DataFrame:
         return self.forecast(table).select(
@@ -101,32 +104,45 @@ def fit(name: str, train: DataFrame, params: dict | None = None, variant: str =
     return Fitted(name, variant, model, round(time.monotonic() - start, 3))
 
 
-def benchmark(
-    split_rows: DataFrame, table: DataFrame, families: list[str] | None = None,
-    overrides: dict[str, dict] | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """Fit every family, raw and log1p, and return the long forecasts and the leaderboard.
+def variants(name: str) -> tuple[str, ...]:
+    """Linear families model counts through their link and have no log1p variant."""
+    return ("raw",) if name in LINEAR else ("raw", "log1p")
+
+
+def fit_families(
+    table: DataFrame, families: list[str] | None = None, overrides: dict[str, dict] | None = None, parallelism: int = 8
+) -> list[Fitted]:
+    """Every family in its variants, fitted as concurrent Spark jobs: the steps of one fit wait for each other, fits do not."""
+    train = table.filter("split = 'train'")
+    wanted = [(name, variant) for name in families or list(PRESETS) for variant in variants(name)]
+    with ThreadPool(parallelism) as pool:
+        return pool.map(lambda job: fit(job[0], train, (overrides or {}).get(job[0]), job[1]), wanted)
+
+
+def benchmark(split_rows: DataFrame, table: DataFrame, fits: list[Fitted]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The long forecasts of `fits` and of the baselines, the leaderboard, and the seconds each model took.
 
-    Linear families model counts through their link and have no log1p variant; both baselines have both names but the
-    same forecast. Forecasts of one model are written as one table, which is also what inference time measures.
-    `table` is the `training_table` of `split_rows`.
+    Both baselines have both variants with the same forecast. Forecasts of one model are written as one table, which is also what
+    inference time measures. `table` is the `training_table` of `split_rows`.
     """
-    train, held_out = table.filter("split = 'train'"), table.filter("split <> 'train'")
+    held_out = table.filter("split <> 'train'")
     base = materialize(baseline_predictions(split_rows), "baseline")
     parts, timings = [base, base.withColumn("variant", F.lit("log1p"))], []
-    for name in families or list(PRESETS):
-        for variant in ("raw",) if name in LINEAR else ("raw", "log1p"):
-            fitted = fit(name, train, (overrides or {}).get(name), variant)
-            start = time.monotonic()
-            parts.append(materialize(fitted.predictions(held_out), "forecast"))
-            timings.append((name, variant, fitted.train_seconds, round(time.monotonic() - start, 4)))
+    for fitted in fits:
+        start = time.monotonic()
+        parts.append(materialize(fitted.predictions(held_out), "forecast"))
+        timings.append((fitted.name, fitted.variant, fitted.train_seconds, round(time.monotonic() - start, 4)))
     preds = reduce(DataFrame.unionByName, parts)
-    times = split_rows.sparkSession.createDataFrame(
+    seconds = split_rows.sparkSession.createDataFrame(
         timings, "model_name string, variant string, train_time_s double, inference_time_s double"
     )
-    board = leaderboard(preds).join(times, ["model_name", "variant"], "left")
-    zero = {"train_time_s": 0.0, "inference_time_s": 0.0}
-    return preds, board.na.fill(zero).orderBy(F.desc("val_p10"), "model_name", "variant")
+    return preds, leaderboard(preds), seconds
+
+
+def with_seconds(board: DataFrame, seconds: DataFrame) -> DataFrame:
+    """The leaderboard as it is published; baselines take no time."""
+    timed = board.join(seconds, ["model_name", "variant"], "left").na.fill({"train_time_s": 0.0, "inference_time_s": 0.0})
+    return timed.orderBy(F.desc("val_p10"), "model_name", "variant")
 
 
 def refit(tuning: list[tuple[str, str]], table: DataFrame) -> list[Fitted]:
@@ -136,12 +152,21 @@ def refit(tuning: list[tuple[str, str]], table: DataFrame) -> list[Fitted]:
 
 
 def save_model(fitted: Fitted, path: str) -> None:
-    """Store a fitted model as a pipeline that `load_model` can read whatever its family."""
-    stages = fitted.model.stages if isinstance(fitted.model, PipelineModel) else [fitted.model]
-    PipelineModel(stages).write().overwrite().save(path)
+    """Store a fitted model so that `load_model` can read it whatever its family; extra trees are stored by their parameters only."""
+    if isinstance(fitted.model, linear.LinearModel):
+        from pyspark.sql import SparkSession
+
+        return fitted.model.save(SparkSession.active(), path)
+    if isinstance(fitted.model, extra_trees.ExtraTreesModel):
+        raise ValueError("extra trees are fitted again from their parameters")
+    PipelineModel([fitted.model]).write().overwrite().save(path)
 
 
 def load_model(name: str, variant: str, path: str) -> Fitted:
+    if name in LINEAR:
+        from pyspark.sql import SparkSession
+
+        return Fitted(name, variant, linear.LinearModel.load(SparkSession.active(), path), 0.0)
     return Fitted(name, variant, PipelineModel.load(path), 0.0)
 
 
@@ -176,6 +201,12 @@ def importance_wide(long: DataFrame, names: list[str]) -> DataFrame:
     return wide.join(mean, "feature").orderBy(F.desc("average"), "feature")
 
 
+def top_features(long: DataFrame, k: int = 15) -> DataFrame:
+    """The `k` features with the highest average, with their place from 1; a report shows the first 15, 10 or 5."""
+    best = long.groupBy("feature").agg(F.max("average").alias("average")).orderBy(F.desc("average"), "feature").limit(k)
+    return best.withColumn("place", F.row_number().over(Window.orderBy(F.desc("average"), "feature")))
+
+
 def leading_features(long: DataFrame, k: int = 10) -> DataFrame:
     """Strongest feature of each model among the `k` features with the highest average."""
     top = long.groupBy("feature").agg(F.max("average").alias("a")).orderBy(F.desc("a"), "feature").limit(k)

@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from zonecast.functions import scalars as S
 from zonecast.operators import (
-    attribution, cleaning, deployment, entities, evaluation, heatmap, impact, models, panel, reports, zones
+    attribution, cleaning, deployment, entities, evaluation, extra_trees, heatmap, impact, linear, models, panel, reports, tuning, zones
 )
 from zonecast.operators.dbscan import distinct_points, split_usable
 from zonecast.plans.workspace import Workspace
-from zonecast.session import scratch_root
+from zonecast.session import materialize, scratch_root
 from zonecast.sources import marts, schemas
 
 Query = Callable[[Workspace], DataFrame]
@@ -147,6 +149,17 @@ def panel_months(w: Workspace) -> DataFrame:
     ).withColumn("panel_month", F.col("panel_month").cast("string"))
 
 
+@query
+def ordered_marts(w: Workspace) -> DataFrame:
+    """Zones and recommendations as written in order, read back from several files with the place of each row."""
+    root = f"{scratch_root(w.spark)}/ordered-{w.key}"
+    zone_order = [F.desc("hotspot_score"), F.desc("total_violations"), F.col("zone_id")]
+    marts.write_ordered(w.zones, f"{root}/zones", zone_order)
+    marts.write_ordered(w.recs, f"{root}/recommendations", deployment.risk_order())
+    read = lambda name: marts.read_table(w.spark, f"{root}/{name}", ["zone_id", "position"])
+    return read("zones").withColumn("mart", F.lit("zones")).unionByName(read("recommendations").withColumn("mart", F.lit("recommendations")))
+
+
 @query
 def parameter_map(w: Workspace) -> DataFrame:
     """JSON text to a map: the properties of every event."""
@@ -467,6 +480,11 @@ def allocation(w: Workspace) -> DataFrame:
     return deployment.allocate(w.recs, OFFICERS, TRUCKS)
 
 
+@query
+def top_allocations(w: Workspace) -> DataFrame:
+    return deployment.top_allocations(deployment.allocate(w.recs, OFFICERS, TRUCKS))
+
+
 @query
 def coverage(w: Workspace) -> DataFrame:
     return deployment.coverage(w.recs, OFFICERS, TRUCKS)
@@ -524,7 +542,100 @@ def zone_inspector(w: Workspace) -> DataFrame:
 def sorted_by_text_number(w: Workspace) -> DataFrame:
     """Ranking sorted by a column of numbers kept as text; the place in that order is part of the result."""
     text = w.ranking.select("entity_name", F.col("total_violations").cast("string").alias("total_text"), "global_rank")
-    return impact.sort_by_any(text, "total_text", descending=True)
+    return impact.sort_by_any(text, "total_text", "global_rank", descending=True)
+
+
+# -- models whose answer SQL can give ------------------------------------------------------------------------------
+
+WEEKDAYS = 7
+
+
+@query
+def saturated_fits(w: Workspace) -> DataFrame:
+    """What each kind of model expects of a weekday if the weekday is all it knows and nothing is penalised: the mean."""
+    rows = w.features.select("day_of_week", F.col("daily_violation_count").cast("double").alias("label"))
+    day, vector = F.col("day_of_week"), VectorAssembler(inputCols=["day_of_week"], outputCol="features")
+    dummies = F.array(*[(day == d).cast("double") for d in range(1, WEEKDAYS)])
+    asked = rows.select("day_of_week").distinct()
+    tree = {"labelCol": "label", "featuresCol": "features", "maxDepth": 8, "maxBins": 32}
+    plain = {
+        "poisson": lambda train: linear.fit(train.withColumn("features", dummies), 1.0, 0.0),
+        "tweedie": lambda train: linear.fit(train.withColumn("features", dummies), 1.5, 0.0),
+        "extra_trees": lambda train: extra_trees.fit(vector.transform(train), numTrees=5),
+        "forest": lambda train: RandomForestRegressor(numTrees=3, bootstrap=False, **tree).fit(vector.transform(train)),
+        "boosted": lambda train: GBTRegressor(maxIter=1, stepSize=1.0, **tree).fit(vector.transform(train)),
+    }
+    out = rows.groupBy("day_of_week").agg(F.count("label").alias("n"))
+    for name, fit in plain.items():
+        features = asked.withColumn("features", dummies) if name in ("poisson", "tweedie") else vector.transform(asked)
+        out = out.join(fit(rows).transform(features).select("day_of_week", F.col("prediction").alias(name)), "day_of_week")
+    return out
+
+
+@query
+def blend_search(w: Workspace) -> DataFrame:
+    """The search at its published 50 trials over a family that needs no fit: the share of yesterday's count in a blend with the weekly mean."""
+    train = w.split_rows.filter("split = 'train'").withColumn("y", F.col(panel.TARGET).cast("double"))
+    blocks = materialize(tuning.with_block(train.select("zone_id", "created_date", "y", "lag_1_count", "rolling_7d_mean")), "blocks")
+    trials = [{"share": i / (tuning.N_TRIALS - 1)} for i in range(tuning.N_TRIALS)]
+
+    def forecast(params: dict, _: DataFrame, held_out: DataFrame) -> DataFrame:
+        share = F.lit(params["share"])
+        return held_out.withColumn("yhat", share * F.col("lag_1_count") + (1 - share) * F.col("rolling_7d_mean"))
+
+    return tuning.rank_trials(tuning.halving(blocks, trials, forecast))
+
+
+@query
+def attribution_fixed_tree(w: Workspace) -> DataFrame:
+    """Shapley values of all training rows for a tree of three cuts whose cuts, values and covers are those of the training rows."""
+    rows = w.split_rows.filter("split = 'train'").select(
+        "zone_id", "created_date", F.col("lag_1_count").cast("double").alias("lag"), F.col("rolling_7d_mean").alias("mean"),
+        F.col(panel.TARGET).cast("double").alias("y"),
+    )
+    # one row: three cuts
+    cut = rows.agg(F.avg("lag").alias("lag"), (F.floor(F.avg("mean") * 1e6) / 1e6).alias("mean")).first()
+    low, high, mean = cut.lag, 2 * cut.lag, cut["mean"]
+    leaf = F.when(F.col("lag") <= low, F.when(F.col("mean") <= mean, 3).otherwise(4)).otherwise(F.when(F.col("lag") <= high, 5).otherwise(6))
+    found = {r.leaf: (r.v, float(r.n)) for r in rows.groupBy(leaf.alias("leaf")).agg(F.avg("y").alias("v"), F.count("y").alias("n")).collect()}
+    leaves = {i: found.get(i, (0.0, 0.0)) for i in (3, 4, 5, 6)}  # four leaves
+    cover = {1: leaves[3][1] + leaves[4][1], 2: leaves[5][1] + leaves[6][1]}
+    table = [(0, 0, 0.0, cover[1] + cover[2], 1, 2, 0, low), (0, 1, 0.0, cover[1], 3, 4, 1, mean), (0, 2, 0.0, cover[2], 5, 6, 0, high)]
+    table += [(0, i, v, n, -1, -1, -1, 0.0) for i, (v, n) in leaves.items()]
+    nodes = w.spark.createDataFrame(
+        table, "tree int, node int, value double, cover double, left int, right int, feature_index int, threshold double"
+    )
+    parts = attribution.shapley(nodes, rows.withColumn("x", F.array("lag", "mean")), ["zone_id", "created_date"], ["lag", "mean"])
+    value = lambda name: F.max(F.when(F.col("feature") == name, F.col("contribution")))
+    return parts.groupBy("zone_id", "created_date").agg(
+        value("(base)").alias("base"), value("lag").alias("lag_part"), value("mean").alias("mean_part"), F.sum("contribution").alias("output")
+    )
+
+
+def derived_importances(w: Workspace) -> DataFrame:
+    """Importances of two made-up models, taken from the modeling rows: mean and largest absolute value of each feature."""
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.abs(F.col(f).cast("double")).alias("v")) for f in panel.FEATURES]))
+    sizes = w.split_rows.select(each.alias("e")).groupBy("e.feature").agg(F.avg("e.v").alias("mean"), F.max("e.v").alias("peak"))
+    models_of = F.explode(F.array(*[F.struct(F.lit(m).alias("model_name"), F.col(m).alias("value")) for m in ("mean", "peak")]))
+    return models.normalise_importances(sizes.select("feature", models_of.alias("m")).select("feature", "m.model_name", "m.value"))
+
+
+@query
+def importance_shares(w: Workspace) -> DataFrame:
+    """Shares, their mean, and the sentence shown next to a feature."""
+    return models.described(derived_importances(w))
+
+
+@query
+def top_features(w: Workspace) -> DataFrame:
+    """The first 15 features by mean share, and which of them the reports of 10 and 5 show."""
+    place = F.col("place")
+    return models.top_features(derived_importances(w)).withColumns({"in_10": place <= 10, "in_5": place <= 5})
+
+
+@query
+def leading_shares(w: Workspace) -> DataFrame:
+    return models.leading_features(derived_importances(w))
 
 
 # -- fitted models: no SQL twin ------------------------------------------------------------------------------------
@@ -537,6 +648,7 @@ def model_predictions(w: Workspace) -> DataFrame:
 
 @query
 def model_leaderboard(w: Workspace) -> DataFrame:
+    """Without the seconds, which no run gives again; the job's mart has them."""
     return w.benchmark[1]
 
 

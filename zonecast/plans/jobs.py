@@ -16,7 +16,7 @@ from zonecast.operators import attribution, deployment, evaluation, heatmap, imp
 from zonecast.operators.dbscan import split_usable
 from zonecast.plans.workspace import Workspace
 from zonecast.session import materialize, prepare
-from zonecast.sources.marts import read_csv, read_table, write_mart, write_panel
+from zonecast.sources.marts import read_csv, read_table, write_mart, write_ordered, write_panel
 from zonecast.sources.schemas import RECORDS
 
 
@@ -65,7 +65,7 @@ class BatchJobs:
         _, bad = split_usable(w.records)
         zones.check_conservation(w.records, w.labelled, bad).collect()
         zones.check_scores(w.zones).collect()
-        self._write(w.zones, "hotspot_zones")
+        write_ordered(w.zones, f"{self.marts}/hotspot_zones", [F.desc("hotspot_score"), F.desc("total_violations"), F.col("zone_id")], self.settings.fmt)
         self._write(w.ranking, "location_ranking")
         self._write(impact.map_layer(w.zones).select(*impact.MAP_COLUMNS), "hotspot_map_data")
         self._write(w.summary, "hotspot_summary_report")
@@ -86,8 +86,9 @@ class BatchJobs:
         self._write(self._recommend([fitted[-1]], None), "first_recommendations")
 
     def benchmark(self) -> None:
-        _, board = models.benchmark(self._split, self._training, list(self.settings.families), self.settings.overrides)
-        self._write(board, "model_leaderboard")
+        fits = models.fit_families(self._training, list(self.settings.families), self.settings.overrides)
+        _, board, seconds = models.benchmark(self._split, self._training, fits)
+        self._write(models.with_seconds(board, seconds), "model_leaderboard")
 
     def tune(self) -> None:
         options = {"n_trials": self.settings.n_trials, "space": self.settings.space}
@@ -125,12 +126,14 @@ class BatchJobs:
             rows = evaluation.blend_weights(preds.filter(~F.col("model_name").contains("Ensemble"))).collect()
             weights = {r.model_name: r.weight for r in rows}  # one weight per tuned family
         chosen = fitted if "Ensemble" in name else [m for m in fitted if m.name == name]
-        self._write(self._recommend(chosen, weights), "deployment_recommendations")
+        write_ordered(self._recommend(chosen, weights), f"{self.marts}/deployment_recommendations", deployment.risk_order(), self.settings.fmt)
         train = self._training.filter("split = 'train'")
-        explained = [*fitted, models.fit("RandomForest", train, self._override("RandomForest"))]
-        self._write(models.importances(explained), "feature_importance")
+        # the two leading boosted families and a forest of half the trees are shown; the first of the two is explained row by row
+        shown = [m for name in ("LightGBM", "XGBoost") for m in fitted if m.name == name]
+        forest = models.fit("RandomForest", train, {"numTrees": 100, **(self._override("RandomForest") or {})})
+        self._write(models.importances([*shown, forest]), "feature_importance")
         sample = attribution.sample_rows(train, self.settings.sample)
-        parts = attribution.contributions(fitted[0], sample)
+        parts = attribution.contributions((shown or fitted)[0], sample)
         self._write(attribution.mean_attribution(parts, sample.count()), "feature_attribution")
         self._write(evaluation.error_analysis(evaluation.choose_best(preds, board)), "prediction_error_analysis")
 

@@ -105,24 +105,29 @@ class Workspace:
     def summary(self) -> DataFrame:
         return materialize(reports.summary_report(self.labelled, self.zones), "summary")
 
-    # -- fitted models, with the presets and search ranges that the jobs use
-
-    @cached_property
-    def benchmark(self) -> tuple[DataFrame, DataFrame]:
-        return models.benchmark(self.split_rows, self.training)
+    # -- fitted models
 
     @cached_property
     def training(self) -> DataFrame:
         return models.training_table(self.split_rows)
 
+    @cached_property
+    def fits(self) -> list[models.Fitted]:
+        """Every family in its variants, at the published sizes."""
+        return models.fit_families(self.training)
+
+    @cached_property
+    def benchmark(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        return models.benchmark(self.split_rows, self.training, self.fits)
+
     @cached_property
     def explained(self) -> list[models.Fitted]:
-        train = self.training.filter("split = 'train'")
-        return [models.fit(n, train) for n in ("LightGBM", "XGBoost", "RandomForest")]
+        return [m for m in self.fits if m.variant == "raw" and m.name in ("LightGBM", "XGBoost", "RandomForest")]
 
     @cached_property
     def tuning(self) -> tuple[DataFrame, list[models.Fitted]]:
-        return tuning.tuning_results(self.training)
+        """The search of the registered queries: `tuning.QUERY_SEARCH`, smaller than that of the jobs."""
+        return tuning.tuning_results(self.training, **tuning.QUERY_SEARCH)
 
 
 _OPEN: dict[tuple[str, str], Workspace] = {}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from zonecast.operators.cleaning import drop_blank_rows, normalise_columns, normalise_key
+from zonecast.operators.ordering import with_position
 from zonecast.sources.schemas import MARTS
 
 
@@ -60,6 +61,14 @@ def write_mart(df: DataFrame, path: str, fmt: str = "parquet", by: list[str] | N
     getattr(writer, fmt)(path)
 
 
+def write_ordered(df: DataFrame, path: str, order: list[Column], fmt: str = "parquet") -> None:
+    """A mart in `order`, a total order: files follow each other in it and `position` holds the place of each row from 0."""
+    placed = with_position(df, order, "position")
+    # positions were given in range partitions; the rows of a file stay together and sorted
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    write_mart(placed.repartitionByRange(parts, "position").sortWithinPartitions("position"), path, fmt)
+
+
 def write_panel(features: DataFrame, path: str) -> None:
     """Panel features, one folder per month, files in (zone, date) order."""
     month = F.date_format("created_date", "yyyy-MM")
