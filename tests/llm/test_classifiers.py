@@ -20,7 +20,8 @@ def plain_profile(texts, top):
     grams = Counter()
     for text in texts:
         for w in language.letters(text):
-            grams.update(language.cut(w))
+            w = f"_{w}_"
+            grams.update(g for n in (1, 2, 3) for i in range(len(w) - n + 1) if (g := w[i : i + n]) != "_")
     return [g for g, _ in sorted(grams.items(), key=lambda x: (-x[1], x[0]))[:top]]
 
 

@@ -28,6 +28,8 @@ LONGEST = 3
 TOP = 400
 UNDETERMINED = "und"
 MARK = "_"
+#: Parts in which the n-grams of a language are ranked before its first are put together.
+PARTS = 32
 #: Distinct words a task holds before it hands its counts on.
 HELD_WORDS = 200_000
 
@@ -39,12 +41,6 @@ def letters(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def cut(word: str, longest: int = LONGEST) -> list[str]:
-    """The n-grams of a word between marks; the bare mark is none."""
-    word = MARK + word + MARK
-    return [word[i : i + n] for n in range(1, longest + 1) for i in range(len(word) - n + 1) if n > 1 or 0 < i < len(word) - 1]
-
-
 def _word_counts(docs: DataFrame) -> DataFrame:
     """`lang, word, n` summed over `docs(lang, text)`."""
     def run(batches):
@@ -71,89 +67,80 @@ def _word_counts(docs: DataFrame) -> DataFrame:
     return counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def profiles(docs: DataFrame, top: int = TOP, longest: int = LONGEST) -> DataFrame:
+def piece_of(size: int):
+    """From a place to the n-gram of `size` letters there. Spark would hand the place in the array to a second parameter."""
+    return lambda i: F.substring("w", i, F.lit(size))
+
+
+def profiles(docs: DataFrame, top: int = TOP) -> DataFrame:
     """`lang, gram, place` (from 0) of the `top` n-grams of each language in `docs(lang, text)`."""
     words = _word_counts(docs.filter("lang IS NOT NULL AND text IS NOT NULL"))
     marked = words.select("lang", F.concat(F.lit(MARK), "word", F.lit(MARK)).alias("w"), "n")
     cuts = []
-    for k in range(1, longest + 1):
+    for k in range(1, LONGEST + 1):
         first, last = (2, F.length("w") - 1) if k == 1 else (1, F.length("w") - k + 1)
         # a sequence would count down in a word shorter than k
         starts = F.when(last >= first, F.sequence(F.lit(first), last)).otherwise(F.array().cast("array<int>"))
-        cuts.append(F.transform(starts, lambda i, k=k: F.substring("w", i, F.lit(k))))
+        cuts.append(F.transform(starts, piece_of(k)))
     grams = marked.select("lang", "n", F.explode(F.flatten(F.array(*cuts))).alias("gram"))
     grams = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    # the limit on the rank is applied in each task before the shuffle by language
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    return grams.withColumn("place", rank - 1).filter(F.col("place") < top).select("lang", "gram", "place")
+    # the first of a language are among the first of its parts, which are ranked side by side
+    part = F.pmod(F.xxhash64("gram"), F.lit(PARTS))
+    rank = lambda *by: F.row_number().over(Window.partitionBy("lang", *by).orderBy(F.desc("n"), "gram"))
+    first = grams.withColumn("_part", part).withColumn("_rank", rank("_part")).filter(F.col("_rank") <= top)
+    return first.withColumn("place", rank() - 1).filter(F.col("place") < top).select("lang", "gram", "place")
+
+
+#: Bits of a letter in the number of an n-gram; the code points of three letters fill it. Numbers sort as the n-grams do.
+LETTER_BITS = 21
+
+
+def number(gram: str) -> int:
+    """An n-gram as an integer: its code points from the left, zeros where it ends."""
+    return sum(ord(c) << LETTER_BITS * (LONGEST - 1 - i) for i, c in enumerate(gram))
+
+
+def gram_numbers(text: str | None) -> np.ndarray:
+    """The numbers of all n-grams of a text: its words in a row, with one mark between two of them."""
+    words = letters(text)
+    if not words:
+        return np.zeros(0, np.int64)
+    c = np.frombuffer((MARK + MARK.join(words) + MARK).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    inner = c != ord(MARK)
+    one, two, three = (c << LETTER_BITS * k for k in (2, 1, 0))
+    pair = one[:-1] | two[1:]  # words are not empty, so no pair is two marks
+    return np.concatenate([one[inner], pair, (pair[:-1] | three[2:])[inner[1:-1]]])  # a mark in the middle parts two words
 
 
 class Identifier:
     """Predicts from profiles given as {language: n-grams in order}."""
 
-    def __init__(self, ranked: dict[str, list[str]], top: int = TOP, longest: int = LONGEST, most: int = 200_000):
-        self.langs = sorted(ranked)
-        self.top, self.longest, self._most = top, longest, most
-        #: place of an n-gram in each language's profile, by id; what no profile has gets ids as it comes
-        self._ids: dict[str, int] = {}
-        rows = {}
+    def __init__(self, ranked: dict[str, list[str]], top: int = TOP):
+        self.langs, self.top = sorted(ranked), top
+        rows: dict[int, np.ndarray] = {}
         for k, lang in enumerate(self.langs):
             for place, gram in enumerate(ranked[lang]):
-                rows.setdefault(gram, np.full(len(self.langs), -1))[k] = place
-        self._known = sorted(rows)
-        self._places = np.stack([rows[g] for g in self._known]) if rows else np.zeros((0, len(self.langs)), int)
-        self._reset()
-
-    def _reset(self) -> None:
-        self._ids = {g: i for i, g in enumerate(self._known)}
-        self._names: list[str] = list(self._known)
-        self._words: dict[str, np.ndarray] = {}
-
-    def _grams(self, word: str) -> np.ndarray:
-        found = self._words.get(word)
-        if found is None:
-            ids = self._ids
-            out = []
-            for g in cut(word, self.longest):
-                at = ids.get(g)
-                if at is None:
-                    at = ids[g] = len(ids)
-                    self._names.append(g)
-                out.append(at)
-            found = self._words[word] = np.array(out)
-        return found
+                rows.setdefault(number(gram), np.full(len(self.langs), -1))[k] = place
+        self._known = np.array(sorted(rows), np.int64)
+        # the last row is for n-grams that no profile has
+        self._places = np.stack([*(rows[g] for g in self._known.tolist()), np.full(len(self.langs), -1)])
 
     def ranked(self, text: str | None) -> np.ndarray:
-        """Ids of the text's most frequent n-grams, in order."""
-        words = Counter(letters(text))
-        if not words:
-            return np.zeros(0, int)
-        if len(self._words) > self._most:
-            self._reset()
-        parts = [self._grams(w) for w in words]
-        ids = np.concatenate(parts)
-        weights = np.repeat(np.fromiter(words.values(), float, len(words)), [len(p) for p in parts])
-        ids, at = np.unique(ids, return_inverse=True)
-        n = np.bincount(at, weights)
-        if len(n) > self.top:  # all that may be among the top, ties at the end included
-            least = np.partition(n, len(n) - self.top)[len(n) - self.top]
-            ids, n = ids[n >= least], n[n >= least]
-        order = sorted(zip((-n).tolist(), [self._names[i] for i in ids.tolist()], ids.tolist()))[: self.top]
-        return np.array([i for _, _, i in order])
+        """Numbers of the text's most frequent n-grams, in order."""
+        numbers, n = np.unique(gram_numbers(text), return_counts=True)
+        return numbers[np.argsort(-n, kind="stable")[: self.top]]  # ties stay in the order of the n-grams
 
     def __call__(self, text: str | None) -> tuple[str, float]:
-        if not self.langs:
-            return UNDETERMINED, 0.0
-        ids = self.ranked(text)
-        if not len(ids):
+        grams = self.ranked(text) if self.langs else ()
+        if not len(grams):
             return UNDETERMINED, 0.0
-        place = np.full((len(ids), len(self.langs)), -1)
-        seen = ids < len(self._places)
-        place[seen] = self._places[ids[seen]]
-        out_of_place = np.where(place < 0, self.top, np.abs(place - np.arange(len(ids))[:, None]))
+        at = np.searchsorted(self._known, grams)
+        found = (at < len(self._known)) & (self._known[np.minimum(at, len(self._known) - 1)] == grams) if len(self._known) else np.zeros(len(grams), bool)
+        place = self._places[np.where(found, at, len(self._known))]
+        out_of_place = np.where(place < 0, self.top, np.abs(place - np.arange(len(grams))[:, None]))
         distance = out_of_place.sum(axis=0)
         best = int(distance.argmin())
-        return self.langs[best], 1.0 - float(distance[best]) / (self.top * len(ids))
+        return self.langs[best], 1.0 - float(distance[best]) / (self.top * len(grams))
 
 
 def identify(docs: DataFrame, training: DataFrame, top: int = TOP) -> DataFrame:
