@@ -117,7 +117,8 @@ def place(spark: SparkSession, cut: DataFrame, length: int = LENGTH) -> DataFram
     blocks = F.sequence(F.expr(f"_first div {RANKS}"), F.expr(f"(_first + _ranks - 1) div {RANKS}"))
     runs = runs.withColumn("_block", F.explode(blocks))
     inside = Window.partitionBy("length", "_part").orderBy("doc_id", "piece", "ids_crc32", "start")
-    ranked = cut.withColumn("_in", F.row_number().over(inside)).join(by_part.drop("_n"), ["length", "_part"])
+    # merged, not broadcast: there are more of these offsets the more tasks there are, and the window has dealt the pieces by the same keys
+    ranked = cut.withColumn("_in", F.row_number().over(inside)).join(by_part.drop("_n").hint("merge"), ["length", "_part"])
     ranked = ranked.withColumn("_rank", F.col("_before") + F.col("_in") - 1)
     ranked = ranked.withColumn("_block", F.expr(f"_rank div {RANKS}")).join(runs, ["length", "_block"])
     ranked = ranked.filter("_rank >= _first AND _rank < _first + _ranks")
