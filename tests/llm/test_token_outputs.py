@@ -8,6 +8,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from pyspark.sql import functions as F
+
 from helpers import ODD, frame
 from zonecast.llm import packing as p
 from zonecast.llm import token_files as t
@@ -27,7 +29,7 @@ def ids(tokenizer, text):
 
 
 def test_encoder_equals_the_tokenizer(tokenizer):
-    rng, encode = random.Random(1), WordEncoder(PATH, most_words=200, most_pieces=100)
+    rng, encode = random.Random(1), WordEncoder(PATH, most_words=200)
     letters = ["a", "é", "'s", "S", "İ", "²", " ", "<|endoftext|>", "́", "\x1c", "\t", "\n", "日", "!?", "12"]
     texts = [*MIXED, *("".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(800))]
     for at in range(0, len(texts), 50):
@@ -54,10 +56,13 @@ def test_outliers_do_not_widen_a_block():
     assert width.max() == 0 and odd.min() > 0 and np.array_equal(t.Shard(t.encode_shard([1], [raw.tobytes()])).ids(), raw)
 
 
-def test_files_against_the_tokenizer(spark, tokenizer):
+@pytest.mark.parametrize("shard_ids", [1, 500, t.SHARD_IDS])
+def test_files_against_the_tokenizer(spark, tokenizer, shard_ids):
     rows = [*ODD, *((20 + i, x) for i, x in enumerate(MIXED)), (50, "word " * 30_000)]
     rows = [r for r in rows if r[0] != 4] + [(4, "one two"), (4, "one two"), (4, "three four five")]
-    folder, manifest = t.write(frame(spark, rows, clash=True), PATH, 2, shards=3)
+    folder, manifest = t.write(frame(spark, rows, clash=True), PATH, 2, parts=3, shard_ids=shard_ids)
+    longest = 30_001  # a document is never cut
+    assert manifest.filter(F.col("n_ids") >= shard_ids + longest).isEmpty() and (manifest.count() == len(rows)) == (shard_ids == 1)
     got = t.read(spark, folder, manifest).collect()
     want, at = [], 0
     for i, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):

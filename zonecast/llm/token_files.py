@@ -30,6 +30,8 @@ from zonecast.llm.tokens import encoder
 from zonecast.session import materialize, scratch_root
 
 MAGIC = b"PFORIDS1"
+#: Ids after which a shard is closed: 64 MB of them, a few times less once packed.
+SHARD_IDS = 1 << 24
 BLOCK = 128
 PERCENTILE = 90
 SLICE = 4096
@@ -152,37 +154,50 @@ class Shard:
         return self.blocks(first, -(-stop // BLOCK))[start - first * BLOCK : stop - first * BLOCK]
 
 
-def write(docs: DataFrame, path: str, end_id: int, folder: str | None = None, shards: int | None = None) -> tuple[str, DataFrame]:
+def write(
+    docs: DataFrame, path: str, end_id: int, folder: str | None = None, parts: int | None = None, shard_ids: int = SHARD_IDS
+) -> tuple[str, DataFrame]:
     """Encode `docs(doc_id, text)` and write its shards in ascending doc_id order.
 
-    Returns the folder and its manifest `shard, file, n_docs, n_ids, first_id`, where first_id is the number of ids in the shards before.
+    A task writes its range of documents as one shard after the other, each closed once it has `shard_ids` ids, which bounds what a task
+    holds and a file has (but for a single longer document). Rows of one doc_id may lie in several ranges, ordered by text. Returns the
+    folder and its manifest `shard, file, n_docs, n_ids, first_id`, where first_id is the number of ids in the shards before.
     """
     spark = docs.sparkSession
     folder = folder or f"{scratch_root(spark)}/token-files-{uuid.uuid4().hex}"
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
-    rows = rows.repartitionByRange(shards, order[0]).sortWithinPartitions(*order)
+    rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
         encode, end = encoder(path), np.array([end_id], "<u4").tobytes()
-        names, parts = [], []
+        part_id, n_shards, names, held, size = TaskContext.get().partitionId(), 0, [], [], 0
+
+        def close():
+            shard = (part_id << 32) + n_shards
+            file = f"{part_id:08d}-{n_shards:08d}.pfor"
+            _save(folder, file, encode_shard(names, held))
+            return pa.RecordBatch.from_pydict({"shard": [shard], "file": [file], "n_docs": [len(names)], "n_ids": [size]}, schema=kind)
+
+        kind = pa.schema([("shard", pa.int64()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256).to_pydict()
-                names += part["doc_id"]
-                parts += [ids + end for ids in encode(part["text"])]
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64).to_pydict()
+                for doc_id, ids in zip(part["doc_id"], encode(part["text"])):
+                    names.append(doc_id)
+                    held.append(ids + end)
+                    size += len(held[-1]) // 4
+                    if size >= shard_ids:
+                        yield close()
+                        n_shards, names, held, size = n_shards + 1, [], [], 0
         if names:
-            shard = TaskContext.get().partitionId()
-            file = f"{shard:08d}.pfor"
-            _save(folder, file, encode_shard(names, parts))
-            n_ids = sum(map(len, parts)) // 4
-            yield pa.RecordBatch.from_pydict({"shard": [shard], "file": [file], "n_docs": [len(names)], "n_ids": [n_ids]}, schema=pa.schema([("shard", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
+            yield close()
 
-    manifest = materialize(rows.mapInArrow(run, "shard int, file string, n_docs long, n_ids long"), "manifest")
+    manifest = materialize(rows.mapInArrow(run, "shard long, file string, n_docs long, n_ids long"), "manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row per shard
     return folder, manifest.withColumn("first_id", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
