@@ -1,26 +1,40 @@
 """SQL twins of the corpus queries that SQL can express."""
 
-QUALITY_RULES = r"""
-WITH d AS (SELECT row_number() OVER () AS k, doc_id, source, coalesce(text, '') AS t FROM documents),
+_DOCUMENT_STATS = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, {host} AS source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
              list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
 win AS (SELECT k, unnest(range(1, len(ws) - 3)) AS i, unnest([array_to_string(ws[i:i + 4], ' ') for i in range(1, len(ws) - 3)]) AS g FROM w),
 twice AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, g) AS c FROM win) WHERE c > 1),
 cover AS (SELECT k, sum(least(5, coalesce(nxt - i, 5))) AS n FROM (SELECT k, i, lead(i) OVER (PARTITION BY k ORDER BY i) AS nxt FROM twice) GROUP BY k),
-s AS (SELECT w.k, doc_id, source, CAST(len(ws) AS BIGINT) AS n_words,
+s AS (SELECT w.k, doc_id, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ls) AS BIGINT) AS n_lines,
              CAST(length(translate(t, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ', '')) AS BIGINT) AS word_chars,
              CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
              CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
       FROM w LEFT JOIN cover USING (k)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM s),
-h AS (SELECT source, count(*) AS host_docs, CAST(sum(CASE WHEN base_failed THEN 1 ELSE 0 END) AS BIGINT) AS host_failed FROM b WHERE source IS NOT NULL GROUP BY source),
-p AS (SELECT m, CASE WHEN v <= 1e-12 THEN 10000e0 ELSE least(greatest(m * (1 - m) / v - 1, 0e0), 10000e0) END AS s
-      FROM (SELECT m, ff / n - m * m AS v FROM (SELECT sum(host_failed) / CAST(sum(host_docs) AS DOUBLE) AS m, sum(CAST(host_failed AS DOUBLE) * host_failed / host_docs) AS ff, CAST(sum(host_docs) AS DOUBLE) AS n FROM h))),
-r AS (SELECT source, host_docs, host_failed, (host_failed + s * m) / (host_docs + s) > 0.5e0 AS host_rejected FROM h CROSS JOIN p)
+h AS (SELECT source, count(*) AS host_docs, count(*) FILTER (base_failed) AS host_failed, count(*) FILTER (n_words < 10) AS failed_short,
+             count(*) FILTER (100 * n_repeat_words > 20 * n_words) AS failed_repetitive, count(*) FILTER (100 * n_symbols > 10 * word_chars) AS failed_symbols,
+             count(*) FILTER (100 * n_dup_lines > 30 * n_lines) AS failed_dup_lines FROM b WHERE source IS NOT NULL GROUP BY source),
+e AS (SELECT source, CAST(host_docs AS DOUBLE) AS n, unnest(['short', 'repetitive', 'symbols', 'dup_lines']) AS rule,
+             unnest([failed_short, failed_repetitive, failed_symbols, failed_dup_lines]::DOUBLE[]) AS f FROM h),
+t AS (SELECT rule, sum(f) / sum(n) AS m, sum(n) AS nn, sum(n * n) AS n2, sum(f * f / n) AS q, count(*) - 1 AS free FROM e GROUP BY rule),
+p AS (SELECT rule, m, least(greatest(0.3e0, 3e0 * m), (1 + m) / 2) AS top, CASE WHEN m <= 0 OR m >= 1 OR room <= 0 OR beyond <= 1 / 10001e0 THEN 10000e0
+             ELSE greatest(1 / beyond - 1, 0e0) END AS s
+      FROM (SELECT *, nn - n2 / nn - free AS room, CASE WHEN m > 0 AND m < 1 AND nn - n2 / nn - free > 0 THEN ((q - m * m * nn) / (m * (1 - m)) - free) / (nn - n2 / nn - free) END AS beyond FROM t)),
+r AS (SELECT h.*, host_rejected FROM h JOIN (SELECT source, bool_or((f + s * m) / (n + s) > top) AS host_rejected FROM e JOIN p USING (rule) GROUP BY source) USING (source))
+"""
+QUALITY_RULES = _DOCUMENT_STATS.replace("{host}", "source") + """
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_docs, host_failed,
        coalesce(host_rejected, false) AS host_rejected, NOT (base_failed OR coalesce(host_rejected, false)) AS kept
 FROM b LEFT JOIN r USING (source)
 """
+#: Hosts that are each source by length of document.
+HOST_VERDICTS = _DOCUMENT_STATS.replace(
+    "{host}", "source || '/' || CASE WHEN n_chars < 100 THEN 'short' WHEN n_chars < 1000 THEN 'medium' WHEN n_chars IS NOT NULL THEN 'long' END"
+) + """
+SELECT source AS host, host_docs, host_failed, failed_short, failed_repetitive, failed_symbols, failed_dup_lines, host_rejected FROM r
+"""
 
 CONTAMINATION = r"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents),

@@ -1,9 +1,11 @@
 """Quality rules per document and per host (native): DataFrame functions only.
 
 A document fails the base rules if it has fewer than ten words or if over 20 % of its words lie in five-word windows that
-the text holds twice or more. Failures are added up by host. A host's rate is shrunk towards the rate of all documents by
-a beta prior whose strength is fitted to the spread between hosts (method of moments), so a host with few documents is
-judged mostly by the prior. Hosts whose shrunk rate passes `limit` are rejected with all their documents.
+the text holds twice or more. Failures of these and of the other `RULES` are added up by host, each rule by itself. A host's rate of a
+rule is shrunk towards the rate of all documents by a beta prior, whose strength follows from how much the hosts' rates differ beyond what
+chance gives hosts of their size (the moments of a beta-binomial), so a host with few documents, or any host where hosts hardly differ, is
+judged by the prior. A host whose shrunk rate passes `RATIO` times the rate of all documents (but at least `FLOOR`, and halfway
+to 1 where failures are common) in any rule is rejected with all its documents.
 
 Defined results: null and empty texts have no words and fail; a null host is no host, its documents are judged by the base rules
 alone; repeated rows count each; an empty table gives an empty result; other columns of the input are left out of the way.
@@ -11,6 +13,8 @@ alone; repeated rows count each; an empty table gives an empty result; other col
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +25,15 @@ WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEATED_PERCENT = 20
 SYMBOLS = "#*$%&|<>"
-#: A host is rejected when more than this share of its documents is expected to fail.
-HOST_LIMIT = 0.5
+#: A host is rejected when a rule fails there so many times as often as everywhere, from this rate on.
+RATIO, FLOOR = 3.0, 0.3
+#: Rules by name, over the statistics of a document.
+RULES = {
+    "short": f"n_words < {MIN_WORDS}",
+    "repetitive": f"100 * n_repeat_words > {MAX_REPEATED_PERCENT} * n_words",
+    "symbols": "100 * n_symbols > 10 * word_chars",
+    "dup_lines": "100 * n_dup_lines > 30 * n_lines",
+}
 #: Prior weight, in documents, where hosts do not differ more than chance allows.
 MAX_STRENGTH = 10_000.0
 
@@ -46,7 +57,7 @@ def _repeated(hashes: Column, window: int) -> Column:
 
 
 def document_stats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed to `docs` (which has `text`)."""
+    """Add n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words and base_failed to `docs` (which has `text`)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     gone = lambda chars: F.length(F.translate(text, chars, ""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -57,64 +68,79 @@ def document_stats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         "n_words": n.cast("long"),
         "word_chars": gone(" \t\n\x0b\x0c\r").cast("long"),
         "n_symbols": (F.length(text) - gone(SYMBOLS)).cast("long"),
+        "n_lines": F.size("_lines").cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         "_hashes": F.when(n >= window, windows).otherwise(F.array().cast("array<bigint>")),
     }).drop("_words", "_lines")
     repeats = F.size(F.array_distinct("_hashes")) < F.size("_hashes")
     step = step.withColumn("n_repeat_words", F.when(repeats, _repeated(F.col("_hashes"), window)).otherwise(0).cast("long"))
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
-    return step.drop("_hashes").withColumn("base_failed", failed)
+    return step.drop("_hashes").withColumn("base_failed", F.expr(f"{RULES['short']} OR {RULES['repetitive']}"))
 
 
 def host_counts(stats: DataFrame) -> DataFrame:
-    """host, host_docs, host_failed of `stats(host, base_failed)`; a row per host and task before the shuffle."""
+    """host, host_docs, host_failed (base rules) and failures of each rule, of `stats(host, ...)`; a row per host and task before the shuffle."""
+    each = {rule: F.count_if(F.expr(test)) for rule, test in RULES.items()}
     return stats.filter("host IS NOT NULL").groupBy("host").agg(
-        F.count(F.lit(1)).alias("host_docs"), F.sum(F.col("base_failed").cast("long")).alias("host_failed")
+        F.count(F.lit(1)).alias("host_docs"), F.count_if("base_failed").alias("host_failed"),
+        *[n.alias(f"failed_{rule}") for rule, n in each.items()],
     )
 
 
-def host_verdicts(counts: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
-    """Add host_rejected to `counts(host, host_docs, host_failed)`: is the shrunk failure rate above `limit`?"""
+def host_verdicts(counts: DataFrame) -> DataFrame:
+    """Add host_rejected to `counts(host, host_docs, failed_...)`: does the shrunk rate of any rule pass its limit?"""
     hosts = materialize(counts, "hosts")
-    n, f = F.col("host_docs").cast("double"), F.col("host_failed").cast("double")
-    # one row on the driver: the pooled rate and the spread of the hosts' rates around it
-    total, failed, squares = hosts.agg(F.sum(n), F.sum(f), F.sum(f * f / n)).first()
-    mean, strength = prior(total or 0.0, failed or 0.0, squares or 0.0)
-    rate = (f + strength * mean) / (n + strength)
-    return hosts.select("host", "host_docs", "host_failed", (rate > limit).alias("host_rejected"))
-
-
-def prior(total: float, failed: float, squares: float) -> tuple[float, float]:
-    """Mean and strength of the beta prior; `squares` is the sum over hosts of failed squared over documents."""
-    if not total:
-        return 0.0, MAX_STRENGTH
-    mean = failed / total
-    spread = squares / total - mean * mean
-    if spread <= 1e-12:
-        return mean, MAX_STRENGTH
-    return mean, min(max(mean * (1 - mean) / spread - 1, 0.0), MAX_STRENGTH)
-
-
-def judge(docs: DataFrame, host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
+    n = F.col("host_docs").cast("double")
+    sums = [F.count(F.lit(1)).cast("double"), F.sum(n), F.sum(n * n)]
+    for rule in RULES:
+        f = F.col(f"failed_{rule}").cast("double")
+        sums += [F.sum(f), F.sum(f * f / n)]
+    # one row on the driver: sums over hosts
+    k, total, squares, *found = (x or 0.0 for x in hosts.agg(*sums).first())
+    passed = []
+    for i, rule in enumerate(RULES):
+        mean, strength, limit = prior(k, total, squares, *found[2 * i : 2 * i + 2])
+        passed.append((F.col(f"failed_{rule}").cast("double") + strength * mean) / (n + strength) > limit)
+    return hosts.withColumn("host_rejected", reduce(lambda a, b: a | b, passed))
+
+
+def prior(hosts: float, total: float, squares: float, failed: float, spread: float) -> tuple[float, float, float]:
+    """Mean and strength of the beta prior of a rule, and the rate from which a host is rejected.
+
+    Sums over hosts: `total` documents, `squares` of documents, `failed` documents, `spread` of failed squared over documents. Were all
+    hosts alike, their rates would still differ; what is over that, in units of the largest possible difference, is 1 / (strength + 1).
+    """
+    mean = failed / total if total else 0.0
+    limit = min(max(FLOOR, RATIO * mean), (1 + mean) / 2)
+    free = hosts - 1
+    room = total - squares / total - free if total else 0.0
+    if not 0 < mean < 1 or room <= 0:
+        return mean, MAX_STRENGTH, limit
+    beyond = ((spread - mean * mean * total) / (mean * (1 - mean)) - free) / room
+    strength = MAX_STRENGTH if beyond <= 1 / (MAX_STRENGTH + 1) else max(1 / beyond - 1, 0.0)
+    return mean, strength, limit
+
+
+def judge(docs: DataFrame, host: str = "source") -> DataFrame:
     """One row per document: doc_id, host, the statistics, the verdict on its host, and `kept`."""
     view = docs.select("doc_id", "text", F.col(host).alias("host"))
     stats = materialize(document_stats(view).drop("text"), "quality")
-    joined = stats.join(host_verdicts(host_counts(stats), limit), "host", "left")
+    joined = stats.join(host_verdicts(host_counts(stats)), "host", "left")
     rejected = F.coalesce("host_rejected", F.lit(False))
     return joined.withColumns({"host_rejected": rejected, "kept": ~(F.col("base_failed") | rejected)})
 
 
-def keep_good(docs: DataFrame, host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
+def keep_good(docs: DataFrame, host: str = "source") -> DataFrame:
     """The documents that pass, with their columns as they came."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     view = docs.select(row, F.col("text"), F.col(f"`{host}`").alias("host"))
-    # written before the filter: the optimizer would copy the statistics into its condition, words split anew for each window
+    # written before the filter: the optimizer would copy the statistics into its condition, words split anew for each window;
+    # and with the rows, since a join by a key would move every text once more
     judged = materialize(document_stats(view).drop("text"), "judged")
-    passed = judged.filter("NOT base_failed").select("_row", "host")
-    seen = docs.groupBy(F.col(f"`{host}`").alias("host")).agg(F.count(F.lit(1)).alias("host_docs"))
-    good = passed.groupBy("host").agg(F.count(F.lit(1)).alias("_good"))
-    counts = seen.filter("host IS NOT NULL").join(good, "host", "left").select(
-        "host", "host_docs", (F.col("host_docs") - F.coalesce("_good", F.lit(0))).alias("host_failed")
-    )
-    rejected = host_verdicts(counts, limit).filter("host_rejected").select("host")
-    return restored(passed.join(rejected, "host", "left_anti"), docs)
+    rejected = host_verdicts(host_counts(judged)).filter("host_rejected").select("host")
+    return restored(judged.filter("NOT base_failed").select("_row", "host").join(rejected, "host", "left_anti"), docs)
+
+
+def by_length(docs: DataFrame) -> Column:
+    """A finer host for `docs(source, n_chars)`: the source and how long the document is."""
+    band = F.when(F.col("n_chars") < 100, "short").when(F.col("n_chars") < 1000, "medium").otherwise("long")
+    return F.when(F.col("n_chars").isNotNull(), F.concat("source", F.lit("/"), band))

@@ -12,6 +12,7 @@ from zonecast.llm import (
     substring_dedup, token_files, toxicity,
 )
 from zonecast.llm.common import crc_fold, table
+from zonecast.session import materialize
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +69,13 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def host_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hosts' part of the quality rules where hosts differ much: each source by length of document."""
+    docs = table(spark, sf_dir, "documents")
+    stats = quality_rules.document_stats(docs.select("text", quality_rules.by_length(docs).alias("host"))).drop("text")
+    return quality_rules.host_verdicts(quality_rules.host_counts(materialize(stats, "quality")))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held = crc_fold("doc_id", 4, 2)
@@ -98,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_files": op7_token_files,
     "op8_quality_cnn": op8_quality_cnn,
     "op9_quality_rules": op9_quality_rules,
+    "host_verdicts": host_verdicts,
     "op10_toxicity": op10_toxicity,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_cross_alignment": op12_cross_alignment,
@@ -108,4 +117,5 @@ SQL: dict[str, str] = {
     "op2_decontaminate": oracle.CONTAMINATION,
     "op4_licenses": oracle.licenses(licenses.TEMPLATES, licenses.THRESHOLD),
     "op9_quality_rules": oracle.QUALITY_RULES,
+    "host_verdicts": oracle.HOST_VERDICTS,
 }
