@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from helpers import ODD, frame, words
@@ -54,7 +55,7 @@ def test_stage_returns_rows_as_they_came(spark):
 def test_prior():
     assert q.prior(0, 0, 0, 0, 0) == (0.0, q.MAX_STRENGTH, q.FLOOR)
     # hosts alike: the strongest prior, and a limit relative to the rate of all
-    assert q.prior(2, 20, 200, 4, 0.8) == (0.2, q.MAX_STRENGTH, 3 * 0.2)
+    assert q.prior(2, 20, 200, 4, 0.8) == (0.2, q.MAX_STRENGTH, pytest.approx(0.6))
     assert q.prior(2, 20, 200, 12, 7.2)[2] == 0.8
     # hosts that differ no more than chance gives: the raw variance of their rates is not zero, the prior is still the strongest
     rng = np.random.default_rng(4)
@@ -79,7 +80,7 @@ def test_registered_hosts_are_rejected_and_shrunk_back(spark):
 
 def test_small_host_of_failures_is_shrunk_below_the_limit(spark):
     good, bad = " ".join(f"w{i}" for i in range(30)), "short"
-    rows = [(i, bad if i % 10 == 0 else good, f"h{i % 40}x") for i in range(1600)] + [(9000, bad, "tiny"), (9001, good, "tiny")]
+    rows = [(i, bad if i // 40 % 10 == 0 else good, f"h{i % 40}x") for i in range(1600)] + [(9000, bad, "tiny"), (9001, good, "tiny")]
     rows += [(9100 + i, bad if i % 4 else good, "junk") for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {r.doc_id: r for r in q.judge(df).collect()}
