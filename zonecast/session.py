@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,6 +47,33 @@ def scratch_root(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/zonecast-{sc.applicationId}"
 
 
+_STAGE_TABLES: dict[str, list[str]] = {}
+
+
+def drop_tables(spark: SparkSession, scope: str) -> None:
+    """Delete the tables that were written while `scope` was open and close it.
+
+    For a caller that has stored what it made of them: nothing that still reads them may be used afterwards.
+    """
+    jvm = spark.sparkContext._jvm
+    for path in _STAGE_TABLES.pop(scope, []):
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def table_scope(scope: str) -> Iterator[None]:
+    """Tables written inside belong to `scope`, for `drop_tables`."""
+    token = _SCOPE.set(scope)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+
+
+_SCOPE: ContextVar[str | None] = ContextVar("scope", default=None)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it back.
 
@@ -53,4 +83,6 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if scope := _SCOPE.get():
+        _STAGE_TABLES.setdefault(scope, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
