@@ -29,6 +29,8 @@ GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
 #: Windows searched at a time: two lists of some 40 bytes each are broadcast, 20 MB at most.
 BLOCK = 250_000
+#: Keys of candidate documents that are broadcast, 8 MB of them; the number is counted first.
+MOST_KEYS = 1_000_000
 
 
 def tokens(text: Column) -> Column:
@@ -75,6 +77,17 @@ def _rarest_lists(index: DataFrame, windows: DataFrame, blocks: int) -> DataFram
     return lists.select("window_id", "block", "lists", "rank", F.col("_t.term").alias("term"), F.col("_t.offset").alias("offset"))
 
 
+def _texts_of(docs: DataFrame, met: DataFrame) -> DataFrame:
+    """`_key, text, _met` of the documents that `met(key, _met)` names.
+
+    As long as the keys are few enough to be sent to every task, texts without a candidate are dropped where they are read. Beyond that
+    number all texts are dealt by key; the rows are the same.
+    """
+    if met.count() <= MOST_KEYS:
+        docs = docs.join(F.broadcast(met.select(F.col("key").alias("_key"))), "_key", "left_semi")
+    return docs.join(met.withColumnRenamed("key", "_key").hint("merge"), "_key")
+
+
 def search(docs: DataFrame, index: DataFrame, windows: DataFrame, slop: int = 0) -> DataFrame:
     """Matches `_key, n_words, hits`: for each document with any, its hits (start, len, window_id, exact).
 
@@ -109,8 +122,9 @@ def search(docs: DataFrame, index: DataFrame, windows: DataFrame, slop: int = 0)
         F.col("start").cast("int").alias("start"), F.size("words").alias("len"), "window_id", "phrase",
         *([F.col("words")] if slop else []),
     )
-    met = met.groupBy("key").agg(F.collect_list(hit).alias("_met"))
-    words = docs.join(met, F.col("_key") == F.col("key")).select("_key", tokens(F.col("text")).alias("_words"), "_met")
+    met = materialize(met.groupBy("key").agg(F.collect_list(hit).alias("_met")), "met_by_key")
+    # written, since every use of the words in a condition would otherwise split the text again
+    words = materialize(_texts_of(docs, met).select("_key", tokens(F.col("text")).alias("_words"), "_met"), "candidates")
     words = words.withColumn("n_words", F.size("_words"))
 
     def exact(h: Column) -> Column:
