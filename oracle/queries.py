@@ -271,6 +271,11 @@ SELECTS: dict[str, str] = {
       coalesce(time_window_to_watch,'—') AS watch_window FROM err e LEFT JOIN recs r ON r.zone_id=e.zone_id LEFT JOIN zones z ON z.zone_id=e.zone_id""",
     "sorted_by_text_number": """SELECT entity_name, CAST(total_violations AS VARCHAR) AS total_text, global_rank,
       row_number() OVER (ORDER BY total_violations DESC, CAST(total_violations AS VARCHAR) DESC, global_rank)-1 AS position FROM ent""",
+    "panel_appended": f"""SELECT strftime(created_date,'%Y-%m') AS panel_month, count(*) AS n, {big('sum(daily_violation_count)')} AS daily_violation_count,
+      {big('sum(rolling_14d_sum)')} AS rolling_14d_sum, {big('sum(days_since_last_violation)')} AS days_since_last_violation,
+      {fix('sum(count_growth_rate_14d)')} AS count_growth_rate_14d, {big('sum(next_day_violation_count)')} AS next_day_violation_count FROM feat GROUP BY 1""",
+    "csv_rejects": """SELECT CASE id%50 WHEN 1 THEN 'columns' WHEN 2 THEN 'date' WHEN 3 THEN 'field' ELSE 'accepted' END AS reason, count(*) AS n FROM rec GROUP BY 1
+      UNION ALL SELECT 'input', count(*) FROM rec""",
     "ordered_marts": f"""SELECT 'zones' AS mart, zone_id, row_number() OVER (ORDER BY hotspot_score DESC, total_violations DESC, zone_id)-1 AS position
       FROM zones UNION ALL SELECT 'recommendations', zone_id, row_number() OVER (ORDER BY {RISK_ORDER})-1 FROM recs""",
     "top_allocations": f"""SELECT * FROM (SELECT row_number() OVER (ORDER BY {RISK_ORDER}) AS place, zone_id, string_split(zone_name,' / ')[1] AS short_name,

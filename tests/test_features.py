@@ -174,15 +174,15 @@ def test_precision_at_k_rules(spark):
     assert evaluation.daily_precision_at_k(df.filter("y = 0"), ["split"], 3).first().p10 == 0.0
 
 
-def test_top_k_is_cut_before_the_exchange(spark):
+def test_both_top_k_of_a_day_come_from_one_exchange(spark):
     text = F.col("id").cast("string")
     df = spark.range(1000).select(
         (F.col("id") % 3).cast("string").alias("model_name"), (F.col("id") % 2).cast("string").alias("split"),
         F.date_add(F.lit(DAY0), (F.col("id") % 5).cast("int")).alias("created_date"), text.alias("zone_id"),
         F.col("id").cast("double").alias("y"), F.rand(1).alias("yhat"),
     )
-    plan = evaluation._leaders(df, "y", ["model_name", "split", "created_date"], 10)._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan
+    plan = evaluation.day_metrics(df, ["model_name", "split"], 10)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Window ") == 2
 
 
 def test_histogram_and_stats(spark):
@@ -210,3 +210,26 @@ def test_blend_weights_sum_to_one(spark):
     assert w == pytest.approx({"a": 0.75, "b": 0.25})
     best = evaluation.blend(df, "w", evaluation.blend_weights(df)).filter("zone_id = 'Z0'").first()
     assert best.yhat == pytest.approx(1.5)
+
+
+def test_panel_reads_the_records_once_and_appends_days(spark, tmp_path):
+    from conftest import SF_DIR
+    from zonecast.plans.workspace import workspace
+    from zonecast.sources import marts
+
+    w = workspace(spark, SF_DIR)
+    plan = panel.daily_counts(w.labelled)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+    assert "labelled" not in panel.zone_daily_features(w.cube, w.zones)._jdf.queryExecution().toString()
+    path, days = str(tmp_path / "panel"), sorted(r.d for r in w.cube.select(F.col("created_date").alias("d")).distinct().collect())
+    whole = panel.zone_daily_features(w.cube, w.zones)
+    for cut in (days[70], days[-1], days[1]):
+        marts.write_panel(panel.zone_daily_features(w.cube.filter(F.col("created_date") < F.lit(cut)), w.zones), path)
+        marts.append_panel(panel.appended_features(w.cube, w.zones, str(cut)), path)
+        back = marts.read_table(spark, path).select(*whole.columns)
+        assert back.count() == whole.count() and back.exceptAll(whole).count() == 0
+    last = marts.read_last_month(spark, path)
+    plan = last._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(panel_month" in plan
+    assert all("panel_month=2024-04" in r.f for r in last.select(F.input_file_name().alias("f")).distinct().collect())
+    assert last.agg(F.max("created_date")).first()[0] == days[-1]

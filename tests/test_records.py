@@ -155,3 +155,60 @@ def test_marts(spark, tmp_path):
     assert typed.columns == ["zone_id", "value"] and [r.value for r in typed.collect()] == [3.0, 4.5]
     maps = spark.createDataFrame([('{"maxDepth": 5, "stepSize": 0.1}',)], "p string").select(marts.parse_parameters(F.col("p"))).first()[0]
     assert maps == {"maxDepth": "5", "stepSize": "0.1"}
+
+
+def test_failed_write_leaves_the_mart(spark, tmp_path):
+    path = str(tmp_path / "mart")
+    marts.write_mart(spark.range(3), path)
+    broken = spark.range(4).select(F.when(F.col("id") < 3, F.col("id")).otherwise(F.raise_error(F.lit("lost")).cast("long")).alias("id"))
+    for fmt in ("parquet", "csv"):
+        with pytest.raises(Exception, match="lost"):
+            marts.write_mart(broken, path, fmt)
+        assert sorted(r.id for r in marts.read_table(spark, path).collect()) == [0, 1, 2]
+    reading = marts.read_table(spark, path)  # a reader of the version before is not cut off by the next publish
+    marts.write_mart(spark.range(5), path)
+    assert reading.count() == 3 and marts.read_table(spark, path).count() == 5
+    marts.write_mart(spark.range(6), path)
+    assert len(list((tmp_path / "mart" / "_versions").iterdir())) == 2
+
+
+def test_folder_without_manifest_is_read_as_it_is(spark, tmp_path):
+    spark.range(2).write.parquet(str(tmp_path / "plain"))
+    assert marts.read_table(spark, str(tmp_path / "plain")).count() == 2
+
+
+def test_ordered_mart_from_several_files(spark, tmp_path):
+    rows = [(f"z{i:03d}", float(i * 37 % 50)) for i in range(200)]
+    path = str(tmp_path / "ordered")
+    marts.write_ordered(spark.createDataFrame(rows, "zone_id string, v double").repartition(5), path, [F.desc("v"), F.col("zone_id")])
+    back = marts.read_table(spark, path)
+    want = [z for z, _ in sorted(rows, key=lambda r: (-r[1], r[0]))]
+    assert [r.zone_id for r in back.orderBy("position").collect()] == want and len(back.inputFiles()) > 1
+    files = back.groupBy(F.input_file_name().alias("f")).agg(F.min("position").alias("a"), F.max("position").alias("b"), F.count("v").alias("n"))
+    assert all(r.b - r.a + 1 == r.n for r in files.collect())
+
+
+def test_checked_csv(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.StringType()), T.StructField("day", T.DateType())])
+    lines = ["id,name,day", '1,"a, b",2024-01-02', "2,c", "3,d,2024-01-02,more", "x,e,2024-01-02", "5,f,2024-02-31", "6,,", "", '7,"g",2024-03-04']
+    (tmp_path / "x.csv").write_text("\n".join(lines) + "\n")
+    good, bad = marts.read_csv_checked(spark, str(tmp_path / "x.csv"), schema)
+    assert sorted(r.id for r in good.collect()) == [1, 6, 7]
+    assert sorted((r.reason, r.record[0]) for r in bad.collect()) == [("columns", "2"), ("columns", "3"), ("date", "5"), ("field", "x")]
+    with pytest.raises(marts.MissingInput):
+        marts.read_csv_checked(spark, str(tmp_path / "none.csv"), schema)
+
+
+def test_order_statistics(spark):
+    import random
+
+    from zonecast.operators.evaluation import order_statistic, upper_median
+
+    rng = random.Random(3)
+    for values in ([], [4.0], [1.0, 2.0], [7.0] * 500 + [1.0, 9.0], [rng.gauss(0, 1e6) for _ in range(901)], [rng.choice([0.1, 0.2, 1e300, -1e300]) for _ in range(60)], [1.0, 1.0 + 2**-52, 1e9]):
+        df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double").repartition(3)
+        assert upper_median(df, "v") == (sorted(values)[len(values) // 2] if values else None)
+        for k in {0, len(values) // 3, len(values) - 1} if values else ():
+            assert order_statistic(df, "v", lambda n, k=k: k) == sorted(values)[k]

@@ -5,11 +5,12 @@ Forecasts are kept long: `model_name, variant, split, zone_id, created_date, y,
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from zonecast.functions import scalars as S
-from zonecast.operators.ordering import with_position
 from zonecast.operators.panel import TARGET
 
 SPLITS = ["train", "val", "test"]
@@ -224,11 +225,41 @@ def error_histogram(errors: DataFrame, edges: list[float] = HISTOGRAM_EDGES) ->
     )
 
 
-def upper_median(df: DataFrame, value: str, key: str) -> Column:
-    """Element floor(n/2) of the sorted values, as a scalar subquery."""
-    placed = with_position(df.select(key, value), [F.col(value), F.col(key)], "_at")
-    half = df.agg(F.floor(F.count(F.lit(1)) / 2)).scalar()
-    return placed.filter(F.col("_at") == half).agg(F.max(value)).scalar()
+#: Buckets of a counting pass, and passes after which the rest is one value for a double.
+_BUCKETS, _PASSES = 1024, 12
+
+
+def order_statistic(df: DataFrame, value: str, rank: Callable[[int], int]) -> float | None:
+    """The value at place `rank(n)` (from 0) of the n values of a column that are not null; None if there are none.
+
+    Each pass counts the values by bucket and goes on inside the bucket that holds the place, so only counts move: no sort and no
+    place for each row. It ends where a bucket's least and largest value are the same, which ties reach at once.
+    """
+    rows = df.select(F.col(value).cast("double").alias("v")).filter("v IS NOT NULL AND NOT isnan(v)")
+    n, low, high = rows.agg(F.count("v"), F.min("v"), F.max("v")).first()
+    if not n:
+        return None
+    place = rank(n)
+    for _ in range(_PASSES):
+        if low == high:
+            break
+        width = (high - low) / _BUCKETS
+        # a range below the smallest step between doubles has two values only
+        bucket = F.least(F.floor((F.col("v") - low) / width), F.lit(_BUCKETS - 1)) if width > 0 else (F.col("v") > low).cast("long")
+        inside = rows.filter(F.col("v").between(low, high)).groupBy(bucket.alias("b")).agg(
+            F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")
+        )
+        for r in sorted(inside.collect(), key=lambda r: r.b):  # at most _BUCKETS rows
+            if place < r.n:
+                low, high = r.low, r.high
+                break
+            place -= r.n
+    return low
+
+
+def upper_median(df: DataFrame, value: str) -> float | None:
+    """Element floor(n/2) of the sorted values."""
+    return order_statistic(df, value, lambda n: n // 2)
 
 
 def error_stats(errors: DataFrame) -> DataFrame:
@@ -239,7 +270,7 @@ def error_stats(errors: DataFrame) -> DataFrame:
         F.coalesce(F.try_divide(F.count_if(e < 5), F.count(F.lit(1))) * 100, F.lit(0.0)).alias("under_5_percent"),
         F.max_by("zone_id", F.struct("absolute_error", "zone_id")).alias("hardest_zone"),
         F.max(F.greatest("actual", "predicted")).alias("axis_max"),
-    ).withColumn("median_error", upper_median(errors, "absolute_error", "zone_id"))
+    ).withColumn("median_error", F.lit(upper_median(errors, "absolute_error")).cast("double"))
 
 
 def best_and_worst(errors: DataFrame, k: int = 10) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from zonecast.functions import scalars as S
+from zonecast.session import materialize
 
 COUNTS = ["daily_violation_count", "daily_parking_violation_count", "daily_peak_hour_count"]
 STATIC_COLUMNS = [
@@ -157,12 +158,56 @@ def add_static(panel: DataFrame, zones: DataFrame) -> DataFrame:
     return joined.withColumn("hotspot_band_num", S.lookup(F.col("hotspot_band"), S.BAND_NUMBER, 1))
 
 
-def zone_daily_features(labelled: DataFrame, zones: DataFrame) -> DataFrame:
-    """The feature table: clustered zones on all observed dates, noise dates included."""
+def daily_cube(labelled: DataFrame) -> DataFrame:
+    """Counts of each zone and date, noise included, written: the one reading of the records that the panel needs."""
+    return materialize(daily_counts(labelled).filter("created_date IS NOT NULL"), "cube")
+
+
+def panel_of(cube: DataFrame) -> DataFrame:
+    """Clustered zones on all dates of the cube, noise dates included."""
     from zonecast.operators.zones import clustered
 
-    panel = dense_panel(daily_counts(clustered(labelled)), observed_dates(labelled))
-    return add_static(time_features(panel), zones).drop("date_index")
+    return dense_panel(clustered(cube), observed_dates(cube))
+
+
+def zone_daily_features(cube: DataFrame, zones: DataFrame) -> DataFrame:
+    """The feature table of a `daily_cube`."""
+    return add_static(time_features(panel_of(cube)), zones).drop("date_index")
+
+
+#: Rows before a day that its windows may look at: the mean of 14 rows, 14 rows back.
+LOOKBACK = 28
+
+
+def appended_features(cube: DataFrame, zones: DataFrame, first_new: str) -> DataFrame:
+    """`zone_daily_features` of the dates from the one before `first_new` on, which is the first whose target may have changed.
+
+    Only the tail of the cube that the windows reach is made dense. What lies before it and still matters, the last positive
+    row of a zone, comes from one aggregate of the cube. The zones must be those of the stored panel.
+    """
+    from zonecast.operators.zones import clustered
+
+    dates = [r.d for r in cube.select(F.col("created_date").alias("d")).distinct().orderBy("d").collect()]  # a row per calendar day
+    new = next((i for i, d in enumerate(dates) if str(d) >= first_new), len(dates))
+    start = max(new - 1, 0)
+    tail = max(start - LOOKBACK, 0)
+    index = F.create_map(*[x for i, d in enumerate(dates) for x in (F.lit(d), F.lit(i))])
+    daily = clustered(cube)
+    before = daily.filter((F.col("created_date") < F.lit(dates[tail])) & (F.col(COUNTS[0]) > 0)).groupBy("zone_id").agg(
+        F.max("created_date").alias("_d")
+    ).select("zone_id", F.element_at(index, F.col("_d")).alias("_seen"))
+    every = daily.select("zone_id").distinct()
+    grid = every.select("zone_id", F.explode(F.array(*[F.lit(d) for d in dates[tail:]])).alias("created_date"))
+    rows = grid.join(daily.filter(F.col("created_date") >= F.lit(dates[tail])), ["zone_id", "created_date"], "left").select(
+        "zone_id", "created_date", F.element_at(index, F.col("created_date")).alias("date_index"),
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in COUNTS],
+    )
+    made = time_features(rows).join(before, "zone_id", "left")
+    carried = F.coalesce((F.col("date_index") - F.col("_seen")).cast("long"), F.lit(NEVER).cast("long"))
+    # none in the tail: the last one before it
+    inside = F.sum(F.when(F.col(COUNTS[0]) > 0, 1).otherwise(0)).over(_order().rowsBetween(Window.unboundedPreceding, -1))
+    made = made.withColumn("days_since_last_violation", F.when(F.coalesce(inside, F.lit(0)) > 0, F.col("days_since_last_violation")).otherwise(carried))
+    return add_static(made.filter(F.col("created_date") >= F.lit(dates[start])).drop("_seen"), zones).drop("date_index")
 
 
 def modeling_rows(features: DataFrame) -> DataFrame:

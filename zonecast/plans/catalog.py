@@ -149,6 +149,41 @@ def panel_months(w: Workspace) -> DataFrame:
     ).withColumn("panel_month", F.col("panel_month").cast("string"))
 
 
+@query
+def panel_appended(w: Workspace) -> DataFrame:
+    """Sums by month of a panel that was written up to a date and had the later dates appended."""
+    path, cut = f"{scratch_root(w.spark)}/appended-{w.key}", "2024-03-11"
+    marts.write_panel(panel.zone_daily_features(w.cube.filter(F.col("created_date") < cut), w.zones), path)
+    marts.append_panel(panel.appended_features(w.cube, w.zones, cut), path)
+    sums = [F.sum(c).alias(c) for c in ("daily_violation_count", "rolling_14d_sum", "days_since_last_violation", "count_growth_rate_14d", panel.TARGET)]
+    rows = marts.read_table(w.spark, path)
+    return rows.groupBy(F.col("panel_month").cast("string").alias("panel_month")).agg(F.count(F.lit(1)).alias("n"), *sums)
+
+
+#: Every so many records a line of the CSV table is spoilt, in one of three ways.
+SPOILT = 50
+
+
+@query
+def csv_rejects(w: Workspace) -> DataFrame:
+    """Records written as CSV lines of which some are spoilt, read back: lines by what became of them."""
+    path = f"{scratch_root(w.spark)}/lines-{w.key}"
+    names, at = schemas.RECORDS.fieldNames(), F.col("id") % SPOILT
+    rows = w.records.select(*names)
+    cells = {c: F.col(c).cast("string") for c in names} | {
+        "created_date": F.when(at == 2, "2024-13-45").otherwise(F.col("created_date").cast("string")),
+        "latitude": F.when(at == 3, "north").otherwise(F.col("latitude").cast("string")),
+    }
+    cells = [cells[c].alias(c) for c in names]
+    line = F.when(at == 1, F.to_csv(F.struct(*cells[:-1]))).otherwise(F.to_csv(F.struct(*cells)))
+    rows.select(line.alias("value")).write.mode("overwrite").text(path)
+    good, rejected = marts.read_csv_checked(w.spark, path, schemas.RECORDS, header=False)
+    counted = rejected.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    accepted = good.agg(F.count(F.lit(1)).alias("n")).select(F.lit("accepted").alias("reason"), "n")
+    read = counted.unionByName(accepted)
+    return read.unionByName(read.agg(F.sum("n").alias("n")).select(F.lit("input").alias("reason"), "n"))
+
+
 @query
 def ordered_marts(w: Workspace) -> DataFrame:
     """Zones and recommendations as written in order, read back from several files with the place of each row."""

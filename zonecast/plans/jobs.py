@@ -16,7 +16,7 @@ from zonecast.operators import attribution, deployment, evaluation, heatmap, imp
 from zonecast.operators.dbscan import split_usable
 from zonecast.plans.workspace import Workspace
 from zonecast.session import materialize, prepare
-from zonecast.sources.marts import read_csv, read_table, write_mart, write_ordered, write_panel
+from zonecast.sources.marts import read_csv, read_csv_checked, read_last_month, read_table, write_mart, write_ordered, write_panel
 from zonecast.sources.schemas import RECORDS
 
 
@@ -35,8 +35,14 @@ class Settings:
     sample: int = 500
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    return read_csv(spark, path, RECORDS) if path.endswith(".csv") else read_table(spark, path)
+def read_records(spark: SparkSession, path: str, rejects: str | None = None) -> DataFrame:
+    """The record table; lines of a CSV table that do not fit go to the mart `rejects` with the reason."""
+    if not path.endswith(".csv"):
+        return read_table(spark, path)
+    rows, rejected = read_csv_checked(spark, path, RECORDS)
+    if rejects:
+        write_mart(rejected, rejects)
+    return rows
 
 
 class BatchJobs:
@@ -142,7 +148,8 @@ class BatchJobs:
 
     def _recommend(self, fitted: list[models.Fitted], weights: dict[str, float] | None) -> DataFrame:
         """Recommendations for the last feature day from the (weighted) mean of the given models."""
-        day = deployment.last_day(self._panel())
+        # the folder names give the month, so one month is read
+        day = deployment.last_day(read_last_month(self.spark, f"{self.marts}/zone_daily_features", hint="run the panel job first")).drop("panel_month")
         kept = [*deployment.RECOMMENDATION_COLUMNS[:5], "lag_1_count", "hotspot_band", "dominant_time_bucket"]
         table = models.assemble(day, kept)
         share = weights or {m.name: 1 / len(fitted) for m in fitted}
@@ -168,7 +175,8 @@ def main() -> None:
     parser.add_argument("--format", default="parquet", choices=["parquet", "csv"])
     args = parser.parse_args()
     spark = SparkSession.builder.appName(f"zonecast-{args.job}").getOrCreate()
-    BatchJobs(spark, read_records(spark, args.records), args.marts, Settings(fmt=args.format)).run(args.job)
+    records = read_records(spark, args.records, f"{args.marts}/rejected_records")
+    BatchJobs(spark, records, args.marts, Settings(fmt=args.format)).run(args.job)
 
 
 if __name__ == "__main__":

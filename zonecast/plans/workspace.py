@@ -66,14 +66,17 @@ class Workspace:
     def heatmap(self) -> DataFrame:
         return heatmap.temporal_heatmap(self.records)
 
+    @cached_property
+    def cube(self) -> DataFrame:
+        return panel.daily_cube(self.labelled)
+
     @cached_property
     def panel(self) -> DataFrame:
-        daily = panel.daily_counts(zones.clustered(self.labelled))
-        return panel.dense_panel(daily, panel.observed_dates(self.labelled))
+        return panel.panel_of(self.cube)
 
     @cached_property
     def features(self) -> DataFrame:
-        return materialize(panel.zone_daily_features(self.labelled, self.zones), "zone_daily_features")
+        return materialize(panel.zone_daily_features(self.cube, self.zones), "zone_daily_features")
 
     @cached_property
     def split_rows(self) -> DataFrame:

@@ -70,9 +70,15 @@ TUNING_RESULTS = T.StructType([
     T.StructField("model_name", _S), T.StructField("cv_p10", _D), T.StructField("best_params", _S),
 ])
 
+
+def placed(schema: T.StructType) -> T.StructType:
+    """Schema of an ordered mart: the place of a row is its last column."""
+    return T.StructType([*schema.fields, T.StructField("position", _L)])
+
+
 MARTS = {
-    "hotspot_zones": HOTSPOT_ZONES, "location_ranking": LOCATION_RANKING, "temporal_heatmap": TEMPORAL_HEATMAP,
-    "deployment_recommendations": RECOMMENDATIONS, "prediction_error_analysis": ERROR_ANALYSIS,
+    "hotspot_zones": placed(HOTSPOT_ZONES), "location_ranking": LOCATION_RANKING, "temporal_heatmap": TEMPORAL_HEATMAP,
+    "deployment_recommendations": placed(RECOMMENDATIONS), "prediction_error_analysis": ERROR_ANALYSIS,
     "model_leaderboard": LEADERBOARD, "best_model": BEST_MODEL, "hotspot_summary_report": SUMMARY_REPORT,
     "feature_importance": FEATURE_IMPORTANCE, "predictions": PREDICTIONS,
 }
