@@ -125,7 +125,8 @@ class Workspace:
 
     @cached_property
     def explained(self) -> list[models.Fitted]:
-        return [m for m in self.fits if m.variant == "raw" and m.name in ("LightGBM", "XGBoost", "RandomForest")]
+        raw = {m.name: m for m in self.fits if m.variant == "raw"}
+        return [raw[name] for name in ("LightGBM", "XGBoost", "RandomForest")]
 
     @cached_property
     def tuning(self) -> tuple[DataFrame, list[models.Fitted]]:
