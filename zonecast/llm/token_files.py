@@ -160,15 +160,17 @@ def write(
     """Encode `docs(doc_id, text)` and write its shards in ascending doc_id order.
 
     A task writes its range of documents as one shard after the other, each closed once it has `shard_ids` ids, which bounds what a task
-    holds and a file has (but for a single longer document). Rows of one doc_id may lie in several ranges, ordered by text. Returns the
+    holds and a file has (but for a single longer document). Rows of one doc_id may lie in several ranges, ordered by a hash of the text. Returns the
     folder and its manifest `shard, file, n_docs, n_ids, first_id`, where first_id is the number of ids in the shards before.
     """
     spark = docs.sparkSession
     folder = folder or f"{scratch_root(spark)}/token-files-{uuid.uuid4().hex}"
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
-    rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # rows of one id are told apart by a hash: range bounds are drawn from the keys, and a key must not hold a text
+    rows = rows.withColumn("_tie", F.xxhash64("text"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("_tie").asc()]
+    rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).drop("_tie")
 
     def run(batches):
         import pyarrow as pa
