@@ -124,9 +124,9 @@ def staged_forecasts(fitted: models.Fitted, table: DataFrame, rounds: list[int])
 #: The search behind the registered queries `search_results` and `ensemble_results`. The published one fits 264 ensembles of up to 600
 #: trees, one tree after the other; README gives its measured time. The jobs run that one.
 QUERY_SEARCH = {
-    "n_trials": 8,
+    "n_trials": 4,
     "space": {
-        "maxIter": (10, 40, "int"), "stepSize": (0.05, 0.4, "log"), "maxDepth": (3, 6, "int"), "minInstancesPerNode": (5, 50, "int"),
+        "maxIter": (8, 24, "int"), "stepSize": (0.05, 0.4, "log"), "maxDepth": (3, 5, "int"), "minInstancesPerNode": (5, 50, "int"),
     },
 }
 

@@ -116,8 +116,8 @@ class Workspace:
 
     @cached_property
     def fits(self) -> list[models.Fitted]:
-        """Every family in its variants, at the published sizes."""
-        return models.fit_families(self.training)
+        """Every family in its variants, at the sizes of the registered queries: `models.QUERY_SIZES`."""
+        return models.fit_families(self.training, overrides=models.QUERY_SIZES)
 
     @cached_property
     def benchmark(self) -> tuple[DataFrame, DataFrame, DataFrame]:
