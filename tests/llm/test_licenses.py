@@ -41,3 +41,20 @@ def test_empty_and_bounds(spark):
 
     with pytest.raises(ValueError):
         c.scan(df, templates=[("x", " ".join(map(str, range(30_000))))])
+
+
+def test_no_match_is_without_a_telling_bigram():
+    import random
+
+    rng = random.Random(8)
+    known = [(n, c.template_bigrams(t)) for n, t in c.TEMPLATES]
+    for threshold in (0.5, 0.8, 0.95):
+        told = set(c.telling_bigrams(known, threshold))
+        for _, bigrams in known:
+            for _ in range(200):
+                # any part of a template, with words of its own around, that reaches the threshold
+                kept = rng.sample(bigrams, rng.randint(0, len(bigrams)))
+                size = len(kept) + rng.randint(0, 5)
+                if 2 * len(kept) >= threshold * (size + len(bigrams)):
+                    assert told & set(kept)
+    assert c.telling_bigrams(known, 0.0) is None

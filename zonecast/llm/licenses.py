@@ -2,7 +2,8 @@
 
 A document's segments are its lines, its blocks (lines up to an empty one) and the whole text, in lower case without punctuation. Where a segment has
 a distinct bigrams and a template b, Dice = 2 * common / (a + b) can only reach t if t / (2 - t) <= a / b <= (2 - t) / t. A segment whose size is out of
-these bounds for every template goes no further, and the others are compared only with the templates they leave.
+these bounds for every template goes no further, and the others are compared only with the templates they leave. Then at least
+t / (2 - t) * b bigrams are common, so of any b + 1 less that number one is: a text without one of these goes nowhere (`telling_bigrams`).
 
 Templates are a parameter, (name, text), and travel with the plan; they are checked to be at most `MOST_TEMPLATES` bigrams.
 
@@ -12,6 +13,8 @@ that sorts first; repeated rows and null ids are reported each.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +23,8 @@ from zonecast.llm.common import keyed, lower_ascii, split_words
 THRESHOLD = 0.8
 MOST_TEMPLATES = 20_000
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between two words of a text as it came.
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Notices as their licences give them or as they are commonly shortened.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -54,6 +59,20 @@ def template_bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
 
 
+def telling_bigrams(known: list[tuple[str, list[str]]], threshold: float) -> list[str] | None:
+    """Bigrams of which a text that matches any template has one at least; None if a match needs no common bigram.
+
+    The longest are taken, which are the rarest as a rule.
+    """
+    told = set()
+    for _, bigrams in known:
+        common = math.ceil(threshold / (2 - threshold) * len(bigrams) - 1e-6)
+        if common < 1:
+            return None
+        told.update(sorted(bigrams, key=lambda b: (-len(b), b))[: len(bigrams) - common + 1])
+    return sorted(told)
+
+
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, license (best match or null), score, n_matches (pairs of segment and template)."""
     known = [(name, template_bigrams(text)) for name, text in templates]
@@ -61,9 +80,15 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshol
         raise ValueError(f"templates have more than {MOST_TEMPLATES} bigrams in all")
     known = [(name, b) for name, b in known if b]
     base = keyed(docs).drop("_row")
+    if not known:
+        return base.select("doc_id", F.lit(None).cast("string").alias("license"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("n_matches"))
     text = F.coalesce(F.col("text"), F.lit(""))
     segments = F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, r"\n[\x20\x09-\x0D]*\n"), F.array(text)))
-    rows = base.select("_key", F.explode(segments).alias("_s")).select("_key", words_of(F.col("_s")).alias("_w"))
+    telling = telling_bigrams(known, threshold)
+    # words are letters, digits and characters beyond ASCII, and only A-Z have two cases
+    pattern = "|".join(b.replace(" ", BETWEEN) for b in telling or [])
+    some = base if telling is None else base.filter(F.col("text").rlike(f"(?i){pattern}"))
+    rows = some.select("_key", F.explode(segments).alias("_s")).select("_key", words_of(F.col("_s")).alias("_w"))
     # a little wider than the bounds, so that rounding prunes nothing that just reaches the threshold
     low, high = threshold / (2 - threshold) - 1e-9, (2 - threshold) / threshold + 1e-9
     # a segment has at most one bigram less than words, so too few words are out before bigrams are made
@@ -76,8 +101,6 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshol
         common = F.size(F.array_intersect("_b", F.lit(b)))
         found = F.struct((F.lit(2.0) * common / (n + len(b))).alias("score"), F.lit(name).alias("name"))
         dice.append(F.when((n >= len(b) * low) & (n <= len(b) * high), found))
-    if not known:
-        return base.select("doc_id", F.lit(None).cast("string").alias("license"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("n_matches"))
     # null where the bounds rule a template out; kept inside one expression, so bigrams are made once a segment
     good = F.filter(F.array(*dice), lambda d: d.isNotNull() & (d["score"] >= threshold))
     matched = rows.select("_key", F.explode(good).alias("_d"))
