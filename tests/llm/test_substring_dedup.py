@@ -108,3 +108,31 @@ def test_cut_words():
     assert s.cut_words("a b  c\nd e", [(1, 3)]) == "a\nd e"
     assert s.cut_words("a b c", [(0, 1), (2, 9)]) == " b" and s.cut_words("a b c", [(0, 3)]) == ""
     assert s.cut_words("a b c d", [(1, 3), (0, 2)]) == " d"
+
+
+def test_a_passage_whose_parts_were_first_held_by_different_documents(spark):
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(4000)]
+    text = lambda n: [rng.choice(vocab) for _ in range(n)]
+    shared = text(90)
+    changed = shared[:20] + ["other"] + shared[21:70] + shared[71:]
+    rows = [
+        (1, text(30) + shared[:45] + text(30)), (2, text(20) + shared[45:] + text(40)),
+        (3, text(10) + shared + text(10)), (4, text(25) + shared + text(5)), (5, text(15) + changed), (6, text(60)),
+    ]
+    got = s.repeated_passages(frame(spark, [(i, " ".join(w)) for i, w in rows])).collect()
+    assert {r.doc_id for r in got} == {4, 5} and {r.first_doc_id for r in got} == {3}
+    four, = (r for r in got if r.doc_id == 4)
+    assert (four.start_word, four.end_word, four.first_start, four.first_end, four.n_equal) == (25, 115, 10, 100, 90)
+
+
+def test_parts_that_very_many_hold(spark, monkeypatch):
+    monkeypatch.setattr(s, "HOLDERS", 2)
+    rng = random.Random(9)
+    vocab = [f"w{i}" for i in range(4000)]
+    text = lambda n: [rng.choice(vocab) for _ in range(n)]
+    line, tail = text(42), text(30)
+    rows = [(i, text(20) + line + text(20)) for i in range(30)] + [(50, tail + text(40))]
+    rows += [(60, text(12) + line + tail), (61, text(3) + line + tail + text(9))]
+    got = s.repeated_passages(frame(spark, [(i, " ".join(w)) for i, w in rows])).collect()
+    assert [(r.doc_id, r.first_doc_id, r.start_word, r.end_word, r.n_equal) for r in got] == [(61, 60, 3, 75, 72)]

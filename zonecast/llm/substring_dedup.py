@@ -7,7 +7,10 @@
 3. The matches of a document with one anchor document are chained: the best path of matches that ascend in both documents,
    where a match is worth its words and a gap costs a part of the words it skips in either. A Fenwick tree over anchor places
    gives the best predecessor. Chains are cut at gaps over REACH words.
-4. Chains are aligned on the words of both documents: between matches, along the better split of the two diagonals, and outwards from
+4. Where parts of a passage were first held by different documents, a shared seed may be left outside of every passage. Around such seeds
+   the pairs of seeds that stand FAR apart are matched with every earlier document that has the pair. Any LEAST words hold such a
+   pair, and pairs repeat by far less than seeds. Holders are taken in blocks, and a document is matched on while a pair lies open.
+5. Chains are aligned on the words of both documents: between matches, along the better split of the two diagonals, and outwards from
    both ends while matches outweigh the differences. What is at least `LEAST` words long with at least `IDENTITY` of
    them equal is a repeated passage; a chain that falls short is cut at its widest gap and its parts are tried. Its anchor stays, the later occurrence is the copy.
 
@@ -21,9 +24,10 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from zonecast.llm.common import keyed, map_rows, restored, schema
@@ -38,6 +42,13 @@ IDENTITY = 0.8
 GAP_COST = 0.1
 #: Longest gap inside a chain, in words.
 REACH = 40
+#: Words from the first to the second seed of a pair: the least that makes a chain, and what a chain may skip. Of LEAST equal words, the
+#: first 8 places hold a seed and so do any 8 places after, hence two that are 26 to 33 apart.
+FAR = (LEAST - 2 * (SPAN - 1) - 2 * SEED, REACH)
+#: Holders of a pair of seeds that are matched at once; four times as many in each further step.
+HOLDERS = 64
+#: Places of a pair in one document that are all matched.
+OFTEN = 8
 #: Requests for words of one document that travel with one copy of its text, on average.
 REQUESTS = 64
 #: Extension stops when its score, +1 for an equal word and -2 for another, is this far below its best.
@@ -260,14 +271,8 @@ def _slices(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return map_rows(rows.select("text", "wanted"), make, schema("id long, side int, words binary"), size=128)
 
 
-def passages(docs: DataFrame) -> DataFrame:
-    """`key, start, end, anchor, anchor_start, anchor_end, n_equal` (places in words) of `docs(_key, text)`, written."""
-    seeds = seed_table(docs)
-    shared = seeds.groupBy("seed").agg(F.min(F.struct("key", "pos")).alias("first"), F.max("key").alias("last"))
-    shared = shared.filter("first.key < last").select("seed", F.col("first.key").alias("anchor"), F.col("first.pos").alias("at"))
-    # written, so that both sides of the join have an exchange of their own and Spark can split a seed that very many share
-    shared = materialize(shared, "shared")
-    matches = seeds.join(shared, "seed").filter("key <> anchor").select("key", "anchor", "pos", "at")
+def _confirmed_table(docs: DataFrame, matches: DataFrame) -> DataFrame:
+    """Passages of `docs` by the chains of `matches(key, anchor, pos, at)`, written."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     matches = matches.repartition(parts, "key", "anchor").sortWithinPartitions("key", "anchor", "pos", "at")
     found = _chain_table(matches)
@@ -307,6 +312,143 @@ def passages(docs: DataFrame) -> DataFrame:
     return materialize(map_rows(both, make, schema(fields)), "passages")
 
 
+def _by_document(rows: DataFrame, make, columns: str) -> DataFrame:
+    """`make(key, other columns as arrays)` of the rows of each document, in the order of `rows`' other columns.
+
+    Documents are cut out of the sorted stream; one has as many rows as shared seeds or passages.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(parts, "key").sortWithinPartitions(*rows.columns)
+
+    def run(batches):
+        import pyarrow as pa
+
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            held = new if held is None else [np.concatenate(p) for p in zip(held, new)]
+            cuts = np.nonzero(held[0][1:] != held[0][:-1])[0] + 1
+            for s, e in zip(np.append(0, cuts[:-1]), cuts) if len(cuts) else ():
+                yield from made(pa, [h[s:e] for h in held])
+            if len(cuts):
+                held = [h[cuts[-1] :] for h in held]
+        if held is not None:
+            yield from made(pa, held)
+
+    def made(pa, columns_of):
+        out = make(int(columns_of[0][0]), *columns_of[1:])
+        if len(next(iter(out.values()))):
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in out.values()], names=list(out))
+
+    return rows.mapInArrow(run, columns)
+
+
+def _open_places(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """`key, seed, pos, open` of the shared seeds of documents near one that is open: shared with an earlier document, in no passage."""
+    rows = shared.select("key", "pos", F.lit(0).alias("minus_end"), "seed", (F.col("key") != F.col("anchor")).alias("later"))
+    # sorts before a seed that starts where the passage does
+    spans = found.select("key", F.col("start").alias("pos"), (-F.col("end")).alias("minus_end"), F.lit(0).cast("long").alias("seed"), F.lit(False).alias("later"))
+    rows = rows.unionByName(spans)
+
+    def make(key, pos, minus_end, seed, later):
+        # open: no passage that starts at the place or before it reaches beyond it
+        open_ = later & (-np.minimum.accumulate(minus_end) <= pos)
+        at = pos[open_]
+        seeds = minus_end == 0
+        pos, seed, open_ = pos[seeds], seed[seeds], open_[seeds]
+        near = np.searchsorted(at, pos - FAR[1], "left") < np.searchsorted(at, pos + FAR[1], "right")
+        return {"key": np.full(int(near.sum()), key), "pos": pos[near], "seed": seed[near], "open": open_[near]}
+
+    return _by_document(rows, make, "key long, pos int, seed long, open boolean")
+
+
+def _seed_pairs(places: DataFrame) -> DataFrame:
+    """`pair, key, x, y, open` of the seeds of a document that stand FAR apart; open if one of them is."""
+
+    def make(key, pos, seed, open_):
+        low, high = np.searchsorted(pos, pos + FAR[0], "left"), np.searchsorted(pos, pos + FAR[1], "right")
+        first = np.repeat(np.arange(len(pos)), high - low)
+        second = np.arange(len(first)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + np.repeat(low, high - low)
+        with np.errstate(over="ignore"):
+            mixed = (seed[first] ^ (seed[first] >> 29)) * np.int64(-4658895280553007687) + seed[second]
+        x, y, open_ = pos[first], pos[second], open_[first] | open_[second]
+        order = np.lexsort((y, x, ~open_, mixed))
+        mixed, x, y, open_ = mixed[order], x[order], y[order], open_[order]
+        # in a line said again and again a pair comes back within the reach of its passage: after OFTEN times, one in FAR[0] words is enough
+        new = np.ones(len(x), bool)
+        new[1:] = mixed[1:] != mixed[:-1]
+        stands = np.arange(len(x)) - np.maximum.accumulate(np.where(new, np.arange(len(x)), 0))
+        apart = new.copy()
+        apart[1:] |= (x[1:] // FAR[0] != x[:-1] // FAR[0]) | (open_[1:] != open_[:-1])
+        kept = apart | (stands < OFTEN)
+        return {"pair": mixed[kept], "key": np.full(int(kept.sum()), key), "x": x[kept], "y": y[kept], "open": open_[kept]}
+
+    return _by_document(places, make, "pair long, key long, x int, y int, open boolean")
+
+
+def _further_passages(docs: DataFrame, shared: DataFrame, found: DataFrame) -> DataFrame | None:
+    """Passages that take in shared seeds outside of the passages `found`; `shared` has `seed, key, pos, anchor`."""
+    near = materialize(_open_places(shared, found), "open_seeds")
+    wanted = materialize(near.select("seed").distinct(), "open_seed_values")
+    # a seed of an earlier holder need not be open itself
+    places = shared.select("key", "pos", "seed").join(wanted, "seed").select("key", "pos", "seed")
+    places = places.join(near.select("key", "pos", "open"), ["key", "pos"], "left").select(
+        "key", "pos", "seed", F.coalesce("open", F.lit(False)).alias("open")
+    )
+    pairs = materialize(_seed_pairs(places), "seed_pairs")
+    held = pairs.groupBy("pair").agg(F.min("key").alias("first"), F.max(F.when(F.col("open"), F.col("key"))).alias("last"))
+    held = materialize(held.filter("first < last").select("pair"), "shared_pairs")
+    rank = F.dense_rank().over(Window.partitionBy("pair").orderBy("key")) - 1
+    ranked = materialize(pairs.join(held, "pair").withColumn("rank", rank), "ranked_pairs")
+    most = ranked.agg(F.max("rank").alias("n")).first().n
+    low, size, parts, waiting = 0, HOLDERS, [], ranked.filter("open")
+    while most is not None and low < most:
+        # as in the first matching, a document that holds a pair again and again is matched at its first place
+        holders = ranked.filter((F.col("rank") >= low) & (F.col("rank") < low + size)).groupBy("pair", "key", "rank").agg(F.min(F.struct("x", "y")).alias("at"))
+        holders = holders.select("pair", "key", "rank", "at.x", "at.y")
+        both = waiting.alias("d").join(holders.alias("h"), "pair").filter("d.rank > h.rank")
+        ends = F.array(*[F.struct(F.col(f"d.{c}").alias("pos"), F.col(f"h.{c}").alias("at")) for c in ("x", "y")])
+        matches = both.select(F.col("d.key").alias("key"), F.col("h.key").alias("anchor"), F.explode(ends).alias("m"))
+        parts.append(_confirmed_table(docs, matches.select("key", "anchor", "m.pos", "m.at").distinct()))
+        low, size = low + size, size * 4
+        if low < most:
+            inside = parts[-1].select("key", "start", "end").alias("p")
+            lies = (F.col("p.key") == F.col("w.key")) & (F.col("p.start") <= F.col("w.x")) & (F.col("p.end") > F.col("w.y"))
+            waiting = materialize(waiting.filter(F.col("rank") > low).alias("w").join(inside, lies, "left_anti"), "waiting_pairs")
+    return reduce(DataFrame.unionByName, parts) if parts else None
+
+
+def _outermost(found: DataFrame, further: DataFrame) -> DataFrame:
+    """The rows of `found`, and of `further` those that lie in no other passage of their document, of equal ones the first anchor's."""
+    numbers = ["start", "end", "anchor", "anchor_start", "anchor_end", "n_equal"]
+    rows = found.withColumn("new", F.lit(0)).unionByName(further.withColumn("new", F.lit(1)))
+    rows = rows.select("key", "start", (-F.col("end")).alias("_end"), "new", "anchor", "anchor_start", "anchor_end", "n_equal")
+
+    def make(key, start, end, new, *rest):
+        end = -end
+        reached = np.maximum.accumulate(np.append(-1, end[:-1]))
+        kept = (new == 0) | (end > reached)
+        values = dict(zip(numbers, (start, end, *rest)))
+        return {"key": np.full(int(kept.sum()), key), **{k: v[kept] for k, v in values.items()}}
+
+    return _by_document(rows, make, "key long, start int, end int, anchor long, anchor_start int, anchor_end int, n_equal int").select(*found.columns)
+
+
+def passages(docs: DataFrame) -> DataFrame:
+    """`key, start, end, anchor, anchor_start, anchor_end, n_equal` (places in words) of `docs(_key, text)`, written."""
+    seeds = seed_table(docs)
+    first = seeds.groupBy("seed").agg(F.min(F.struct("key", "pos")).alias("first"), F.max("key").alias("last"))
+    first = first.filter("first.key < last").select("seed", F.col("first.key").alias("anchor"), F.col("first.pos").alias("at"))
+    # written, so that both sides of the join have an exchange of their own and Spark can split a seed that very many share
+    first = materialize(first, "shared")
+    shared = materialize(seeds.join(first, "seed").select("seed", "key", "pos", "anchor", "at"), "shared_seeds")
+    found = _confirmed_table(docs, shared.filter("key <> anchor").select("key", "anchor", "pos", "at"))
+    further = _further_passages(docs, shared, found)
+    return found if further is None else materialize(_outermost(found, further), "passages")
+
+
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """One row per copied passage: doc_id, start_word, end_word, first_doc_id, first_start, first_end, n_equal, key, first_key.
 
