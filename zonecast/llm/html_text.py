@@ -4,13 +4,14 @@
   else than the article (`nav`, `form`, `class="sidebar"`, ...) are known not to be the article; lines in `article`, `main` or
   `role="main"` are declared to be.
 * The distinct paths of a host are put in order; the neighbours of a path, the one with the longer common beginning first, are the
-  pages that most likely share its template. The lines of page and neighbour are aligned by longest common subsequence, and
-  lines that both have are deleted, unless the page declares them as its article. A neighbour that shares `COPY` or more of the
+  pages that most likely share its template. All lines of page and neighbour, those of a declared article too, are aligned by longest
+  common subsequence, and lines that both have are deleted. A neighbour that shares `COPY` or more of the
   characters is a copy and tells nothing about the template; then the other neighbour is taken, and if that is one too, nothing goes.
-* On a page that declares an article its lines stay (a passage that two articles quote is no template) and all others go, shared or not:
+* A line of a declared article is deleted if both neighbours have it and neither is a copy: a passage that one other page quotes is no template.
+* On a page that declares an article all other lines go, shared or not:
   differencing cannot reach a line of the template that varies from page to page, such as a random menu entry.
 
-Only hashes of lines that no page declares as article travel to the neighbours. One page stands for all of a path (the smallest key), so a
+Only hashes of lines travel to the neighbours. One page stands for all of a path (the smallest key), so a
 path or host with a third of all pages puts one row into each join, and its pages are joined in salted pieces. Pages are read twice,
 once for the hashes and once for the text, which is so moved once and never written in between.
 
@@ -233,16 +234,13 @@ def _lengths(a: list[int], b: list[int]) -> list[int]:
 
 
 def shared_lines(hashes: list[int], sizes: list[int], neighbours: list[list[int] | None]) -> list[int]:
-    """Places of the lines that the first neighbour which is no copy shares."""
-    total = sum(sizes)
-    for other in neighbours:
-        if other:
-            found = common_lines(hashes, other)
-            if found and sum(sizes[i] for i in found) < COPY * total:
-                return sorted(found)
-            if not found:
-                return []
-    return []
+    """Places of the lines that the first neighbour which is no copy shares, and of those of a declared article (negative size) that two share."""
+    total = sum(map(abs, sizes))
+    shared = [common_lines(hashes, other) for other in neighbours if other]
+    shared = [found for found in shared if sum(abs(sizes[i]) for i in found) < COPY * total]
+    if not shared:
+        return []
+    return sorted(i for i in shared[0] if sizes[i] > 0 or (len(shared) > 1 and all(i in found for found in shared)))
 
 
 def host_of(url: Column) -> Column:
@@ -263,7 +261,7 @@ def keyed_pages(pages: DataFrame) -> DataFrame:
 
 
 def page_lines(pages: DataFrame) -> DataFrame:
-    """`_key`, page_id, url, lines and declared: the lines that may stay, null where a line cannot."""
+    """`_key`, page_id, url and lines: the lines that may stay, null where a line cannot, so that each keeps its place."""
 
     def make():
         def work(rows):
@@ -271,32 +269,28 @@ def page_lines(pages: DataFrame) -> DataFrame:
             has = [any(declared for _, declared, _ in lines) for lines in found]
             return {k: rows[k] for k in ("_key", "page_id", "url")} | {
                 "lines": [
-                    [t for t, declared, elsewhere in lines if declared and not elsewhere] if own
-                    # a line that stands elsewhere keeps its place, which is how the neighbours' lines are named
-                    else [None if elsewhere else t for t, _, elsewhere in lines]
-                    for lines, own in zip(found, has)
+                    [None if elsewhere or declared < own else t for t, declared, elsewhere in lines] for lines, own in zip(found, has)
                 ],
-                "declared": has,
             }
 
         return work
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    columns = f"_key binary, page_id {kind}, url string, lines array<string>, declared boolean"
+    columns = f"_key binary, page_id {kind}, url string, lines array<string>"
     return map_rows(pages.select("_key", "page_id", "url", "html"), make, schema(columns), 64)
 
 
-def undeclared_lines(pages: DataFrame) -> DataFrame:
-    """`_key`, host, path, and hash and size of the lines that the page does not declare as its article, once for equal rows."""
+def hashed_lines(pages: DataFrame) -> DataFrame:
+    """`_key`, host, path, and hash and size of all lines, once for equal rows; sizes of lines that the page declares as its article are negative."""
 
     def make():
         import xxhash
 
         def work(rows):
-            found = [[t for t, declared, _ in lines_of(h) if not declared] for h in rows["html"]]
+            found = [lines_of(h) for h in rows["html"]]
             return {k: rows[k] for k in ("_key", "host", "path")} | {
-                "hashes": [[xxhash.xxh3_64_intdigest(t) - (1 << 63) for t in lines] for lines in found],
-                "sizes": [[len(t) for t in lines] for lines in found],
+                "hashes": [[xxhash.xxh3_64_intdigest(t) - (1 << 63) for t, _, _ in lines] for lines in found],
+                "sizes": [[-len(t) if declared else len(t) for t, declared, _ in lines] for lines in found],
             }
 
         return work
@@ -332,7 +326,7 @@ def neighbours(read: DataFrame) -> DataFrame:
 
 
 def shared_with_neighbours(read: DataFrame) -> DataFrame:
-    """`_key` and the places, among the undeclared lines, of those that a neighbour shares."""
+    """`_key` and the places of the lines that are shared with the neighbours."""
     pairs = lookup_join(read, neighbours(read), ["host", "path"], "inner", hot=hot_keys(read, ["host", "path"]))
 
     def make():
@@ -346,15 +340,15 @@ def shared_with_neighbours(read: DataFrame) -> DataFrame:
 
 
 def main_text(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars and n_shared (undeclared lines that a neighbour has too) of each row of `pages(page_id, url, html)`."""
+    """page_id, url, text, n_chars and n_shared (lines deleted because neighbours have them too) of each row of `pages(page_id, url, html)`."""
     rows = keyed_pages(pages)
-    read = materialize(undeclared_lines(rows), "page_lines")
+    read = materialize(hashed_lines(rows), "page_lines")
     lines = page_lines(rows)
     # a page that comes very often is dealt out; its key has one row on the other side
     repeated = hot_keys(rows.select("_key"), ["_key"])
     joined = lookup_join(lines, shared_with_neighbours(read), ["_key"], "left", hot=repeated)
     gone = F.coalesce("shared", F.array().cast("array<int>"))
-    kept = F.filter("lines", lambda line, i: line.isNotNull() & (F.col("declared") | ~F.array_contains(gone, i)))
+    kept = F.filter("lines", lambda line, i: line.isNotNull() & ~F.array_contains(gone, i))
     return joined.select("page_id", "url", F.array_join(kept, "\n").alias("text"), F.size(gone).cast("long").alias("n_shared")).select(
         "page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_shared"
     )
