@@ -89,6 +89,14 @@ def test_panel_plan_has_one_exchange_per_input(spark, tmp_path):
     assert initial.count("Exchange hashpartitioning") == 2  # zone list and daily counts, none for the windows
 
 
+def test_dense_panel_takes_as_many_parts_as_its_rows_need(spark, monkeypatch):
+    monkeypatch.setattr(panel, "TASK_ROWS", 100)
+    days = [dt.date(2024, 1, 1) + dt.timedelta(d) for d in range(40)]
+    daily = spark.createDataFrame([(f"z{i}", days[i], 1, 1, 0) for i in range(40)], ["zone_id", "created_date", *panel.COUNTS])
+    dense = panel.time_features(panel.dense_panel(daily, panel.observed_dates(daily)))
+    assert dense.rdd.getNumPartitions() == 16 and dense.count() == 1600
+
+
 def keyed(rows, schema, spark):
     return spark.createDataFrame(rows, schema)
 
