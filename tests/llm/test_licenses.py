@@ -58,3 +58,21 @@ def test_no_match_is_without_a_telling_bigram():
                 if 2 * len(kept) >= threshold * (size + len(bigrams)):
                     assert told & set(kept)
     assert c.telling_bigrams(known, 0.0) is None
+
+
+def test_telling_pattern_finds_what_the_plain_alternatives_find():
+    import random
+    import re
+
+    bigrams = c.telling_bigrams([(n, c.template_bigrams(t)) for n, t in c.TEMPLATES], c.THRESHOLD)
+    pattern = c.telling_pattern(bigrams)
+    rng = random.Random(3)
+    gaps = [" ", "\n", " - ", ".", "_", "é", ""]
+    for _ in range(400):
+        a, b = rng.choice(bigrams).split(" ")
+        text = rng.choice(["", "x ", "é ", "\n"]) + a.upper() + rng.choice(gaps) + b + rng.choice(["", " y", "."])
+        words = "".join(c if c.isalnum() or ord(c) > 127 else " " for c in text.lower()).split()
+        has = any(f"{x} {y}" in bigrams for x, y in zip(words, words[1:]))
+        assert re.search(pattern, text) or not has
+    # a word that starts inside another one, or no second word
+    assert not re.search(pattern, "xabove copyright") and not re.search(pattern, "above")

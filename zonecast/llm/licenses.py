@@ -14,6 +14,7 @@ that sorts first; repeated rows and null ids are reported each.
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +26,7 @@ MOST_TEMPLATES = 20_000
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: What stands between two words of a text as it came.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+IN_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 #: Notices as their licences give them or as they are commonly shortened.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -73,6 +75,22 @@ def telling_bigrams(known: list[tuple[str, list[str]]], threshold: float) -> lis
     return sorted(told)
 
 
+def telling_pattern(bigrams: list[str]) -> str:
+    """Pattern of texts with one of the bigrams; of words that begin alike the beginning is written once, so most places fail at one letter.
+
+    Words are letters, digits and characters beyond ASCII, and only A-Z have two cases. A bigram starts where a word does.
+    """
+
+    def joined(rests: list[str]) -> str:
+        if "" in rests:
+            return ""  # any longer one has it
+        firsts = sorted({r[0] for r in rests})
+        parts = [(BETWEEN if c == " " else re.escape(c)) + joined([r[1:] for r in rests if r[0] == c]) for c in firsts]
+        return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+    return f"(?i)(?<!{IN_WORD}){joined(bigrams)}"
+
+
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, license (best match or null), score, n_matches (pairs of segment and template)."""
     known = [(name, template_bigrams(text)) for name, text in templates]
@@ -85,9 +103,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshol
     text = F.coalesce(F.col("text"), F.lit(""))
     segments = F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, r"\n[\x20\x09-\x0D]*\n"), F.array(text)))
     telling = telling_bigrams(known, threshold)
-    # words are letters, digits and characters beyond ASCII, and only A-Z have two cases
-    pattern = "|".join(b.replace(" ", BETWEEN) for b in telling or [])
-    some = base if telling is None else base.filter(F.col("text").rlike(f"(?i){pattern}"))
+    some = base if telling is None else base.filter(F.col("text").rlike(telling_pattern(telling)))
     rows = some.select("_key", F.explode(segments).alias("_s")).select("_key", words_of(F.col("_s")).alias("_w"))
     # a little wider than the bounds, so that rounding prunes nothing that just reaches the threshold
     low, high = threshold / (2 - threshold) - 1e-9, (2 - threshold) / threshold + 1e-9
