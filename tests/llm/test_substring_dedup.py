@@ -136,3 +136,18 @@ def test_parts_that_very_many_hold(spark, monkeypatch):
     rows += [(60, text(12) + line + tail), (61, text(3) + line + tail + text(9))]
     got = s.repeated_passages(frame(spark, [(i, " ".join(w)) for i, w in rows])).collect()
     assert [(r.doc_id, r.first_doc_id, r.start_word, r.end_word, r.n_equal) for r in got] == [(61, 60, 3, 75, 72)]
+
+
+def test_a_passage_that_many_hold_is_matched_with_its_first_holder(spark, monkeypatch):
+    """Documents that hold the same passage in two parts first held elsewhere are not matched with each other pair by pair."""
+    rng = random.Random(10)
+    vocab = [f"w{i}" for i in range(4000)]
+    text = lambda n: [rng.choice(vocab) for _ in range(n)]
+    shared = text(90)
+    rows = [(1, text(30) + shared[:45] + text(30)), (2, text(20) + shared[45:] + text(40))]
+    rows += [(i, text(20) + shared + text(20)) for i in range(10, 40)]
+    matched, confirm = [], s._confirmed_table
+    monkeypatch.setattr(s, "_confirmed_table", lambda docs, m: matched.append(m.select("key", "anchor").distinct().count()) or confirm(docs, m))
+    got = s.repeated_passages(frame(spark, [(i, " ".join(w)) for i, w in rows])).collect()
+    assert sorted((r.doc_id, r.first_doc_id, r.start_word, r.end_word) for r in got) == [(i, 10, 20, 110) for i in range(11, 40)]
+    assert sum(matched[1:]) <= 4 * len(rows)

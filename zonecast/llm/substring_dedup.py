@@ -45,8 +45,10 @@ REACH = 40
 #: Words from the first to the second seed of a pair: the least that makes a chain, and what a chain may skip. Of LEAST equal words, the
 #: first 8 places hold a seed and so do any 8 places after, hence two that are 26 to 33 apart.
 FAR = (LEAST - 2 * (SPAN - 1) - 2 * SEED, REACH)
-#: Holders of a pair of seeds that are matched at once; four times as many in each further step.
-HOLDERS = 64
+#: Holders of a pair of seeds that are matched first, and how many times as many in each further step. Most pairs lie in a passage with their
+#: first holder and go no further.
+HOLDERS = 1
+FURTHER = 8
 #: Places of a pair in one document that are all matched.
 OFTEN = 8
 #: Requests for words of one document that travel with one copy of its text, on average.
@@ -412,11 +414,13 @@ def _further_passages(docs: DataFrame, shared: DataFrame, found: DataFrame) -> D
         ends = F.array(*[F.struct(F.col(f"d.{c}").alias("pos"), F.col(f"h.{c}").alias("at")) for c in ("x", "y")])
         matches = both.select(F.col("d.key").alias("key"), F.col("h.key").alias("anchor"), F.explode(ends).alias("m"))
         parts.append(_confirmed_table(docs, matches.select("key", "anchor", "m.pos", "m.at").distinct()))
-        low, size = low + size, size * 4
+        low, size = low + size, size * FURTHER
         if low < most:
             inside = parts[-1].select("key", "start", "end").alias("p")
             lies = (F.col("p.key") == F.col("w.key")) & (F.col("p.start") <= F.col("w.x")) & (F.col("p.end") > F.col("w.y"))
             waiting = materialize(waiting.filter(F.col("rank") > low).alias("w").join(inside, lies, "left_anti"), "waiting_pairs")
+            if waiting.isEmpty():
+                break
     return reduce(DataFrame.unionByName, parts) if parts else None
 
 
