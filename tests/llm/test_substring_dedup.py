@@ -151,3 +151,29 @@ def test_a_passage_that_many_hold_is_matched_with_its_first_holder(spark, monkey
     got = s.repeated_passages(frame(spark, [(i, " ".join(w)) for i, w in rows])).collect()
     assert sorted((r.doc_id, r.first_doc_id, r.start_word, r.end_word) for r in got) == [(i, 10, 20, 110) for i in range(11, 40)]
     assert sum(matched[1:]) <= 4 * len(rows)
+
+
+def test_a_line_that_many_hold_is_not_matched_pair_by_pair(spark, monkeypatch):
+    """A line too short for a passage is matched once a document, and the longer run that two of them share is found all the same."""
+    rng = random.Random(11)
+    vocab = [f"w{i}" for i in range(4000)]
+    text = lambda n: [rng.choice(vocab) for _ in range(n)]
+    line, tail = text(42), text(8)
+    rows = [(i, text(20) + line + text(20)) for i in range(80)] + [(90, tail + text(40))]
+    rows += [(100, text(12) + line + tail + text(5)), (101, text(3) + line + tail + text(9))]
+    matched, confirm = [], s._confirmed_table
+    monkeypatch.setattr(s, "_confirmed_table", lambda docs, m: matched.append(m.select("key", "anchor").distinct().count()) or confirm(docs, m))
+    got = s.repeated_passages(frame(spark, [(i, " ".join(w)) for i, w in rows])).collect()
+    assert [(r.doc_id, r.first_doc_id, r.start_word, r.end_word, r.n_equal) for r in got] == [(101, 100, 3, 53, 50)]
+    assert sum(matched) <= 4 * len(rows)
+
+
+def test_a_document_that_says_a_line_again_and_again_is_matched_along_few_diagonals(spark):
+    rng = random.Random(12)
+    vocab = [f"w{i}" for i in range(4000)]
+    text = lambda n: [rng.choice(vocab) for _ in range(n)]
+    line, start = text(26), text(30)
+    rows = [(1, line[:20] + text(40)), (2, line[6:] + text(40)), (3, start + line * 40 + text(30)), (4, start + line * 40 + text(30))]
+    got = s.repeated_passages(frame(spark, [(i, " ".join(w)) for i, w in rows])).collect()
+    assert {(r.doc_id, r.first_doc_id) for r in got} == {(4, 3)}
+    assert len(got) <= 3 and {w for r in got for w in range(r.start_word, r.end_word)} == set(range(1070))

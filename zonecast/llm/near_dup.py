@@ -84,6 +84,14 @@ class Shingler:
             out = _mixed(out * _MULTIPLIER + h[i : i + n])
         return out
 
+    @staticmethod
+    def runs_from(words: np.ndarray, places: np.ndarray, size: int) -> np.ndarray:
+        """Hash of the `size` word hashes from each of `places` on."""
+        out = np.full(len(places), size, np.uint64)
+        for i in range(size):
+            out = _mixed(out * _MULTIPLIER + words[places + i])
+        return out
+
     def __call__(self, text: str | None) -> np.ndarray:
         return np.unique(self.runs(text, SHINGLE))
 

@@ -8,8 +8,9 @@
    where a match is worth its words and a gap costs a part of the words it skips in either. A Fenwick tree over anchor places
    gives the best predecessor. Chains are cut at gaps over REACH words.
 4. Where parts of a passage were first held by different documents, a shared seed may be left outside of every passage. Around such seeds
-   the pairs of seeds that stand FAR apart are matched with every earlier document that has the pair. Any LEAST words hold such a
-   pair, and pairs repeat by far less than seeds. Holders are taken in blocks, and a document is matched on while a pair lies open.
+   the pairs of seeds that stand FAR apart are matched with the first holder of the pair, and every run of LEAST words around a pair that
+   several documents hold with the first holder of that run. Any LEAST words hold such a pair, so a run of them that an earlier
+   document holds as well is found whoever first held its parts. Both grow with the occurrences, never with their pairs.
 5. Chains are aligned on the words of both documents: between matches, along the better split of the two diagonals, and outwards from
    both ends while matches outweigh the differences. What is at least `LEAST` words long with at least `IDENTITY` of
    them equal is a repeated passage; a chain that falls short is cut at its widest gap and its parts are tried. Its anchor stays, the later occurrence is the copy.
@@ -24,10 +25,9 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zonecast.llm.common import keyed, map_rows, restored, schema
@@ -45,11 +45,9 @@ REACH = 40
 #: Words from the first to the second seed of a pair: the least that makes a chain, and what a chain may skip. Of LEAST equal words, the
 #: first 8 places hold a seed and so do any 8 places after, hence two that are 26 to 33 apart.
 FAR = (LEAST - 2 * (SPAN - 1) - 2 * SEED, REACH)
-#: Holders of a pair of seeds that are matched first, and how many times as many in each further step. Most pairs lie in a passage with their
-#: first holder and go no further.
+#: Classes of documents, by their keys, whose first holder of a pair of seeds is matched.
 HOLDERS = 1
-FURTHER = 8
-#: Places of a pair in one document that are all matched.
+#: Places of a pair or run in one document that are all matched.
 OFTEN = 8
 #: Requests for words of one document that travel with one copy of its text, on average.
 REQUESTS = 64
@@ -348,7 +346,7 @@ def _by_document(rows: DataFrame, make, columns: str) -> DataFrame:
 
 
 def _open_places(shared: DataFrame, found: DataFrame) -> DataFrame:
-    """`key, seed, pos, open` of the shared seeds of documents near one that is open: shared with an earlier document, in no passage."""
+    """`key, seed, pos, open, near` of the shared seeds. Open: shared with an earlier document, in no passage; near: one that is open is."""
     rows = shared.select("key", "pos", F.lit(0).alias("minus_end"), "seed", (F.col("key") != F.col("anchor")).alias("later"))
     # sorts before a seed that starts where the passage does
     spans = found.select("key", F.col("start").alias("pos"), (-F.col("end")).alias("minus_end"), F.lit(0).cast("long").alias("seed"), F.lit(False).alias("later"))
@@ -361,9 +359,17 @@ def _open_places(shared: DataFrame, found: DataFrame) -> DataFrame:
         seeds = minus_end == 0
         pos, seed, open_ = pos[seeds], seed[seeds], open_[seeds]
         near = np.searchsorted(at, pos - FAR[1], "left") < np.searchsorted(at, pos + FAR[1], "right")
-        return {"key": np.full(int(near.sum()), key), "pos": pos[near], "seed": seed[near], "open": open_[near]}
+        return {"key": np.full(len(pos), key), "pos": pos, "seed": seed, "open": open_, "near": near}
 
-    return _by_document(rows, make, "key long, pos int, seed long, open boolean")
+    return _by_document(rows, make, "key long, pos int, seed long, open boolean, near boolean")
+
+
+def _turns(values: np.ndarray) -> np.ndarray:
+    """How many equal values stand before each of the sorted `values`."""
+    at = np.arange(len(values))
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    return at - np.maximum.accumulate(np.where(new, at, 0))
 
 
 def _seed_pairs(places: DataFrame) -> DataFrame:
@@ -379,49 +385,95 @@ def _seed_pairs(places: DataFrame) -> DataFrame:
         order = np.lexsort((y, x, ~open_, mixed))
         mixed, x, y, open_ = mixed[order], x[order], y[order], open_[order]
         # in a line said again and again a pair comes back within the reach of its passage: after OFTEN times, one in FAR[0] words is enough
-        new = np.ones(len(x), bool)
-        new[1:] = mixed[1:] != mixed[:-1]
-        stands = np.arange(len(x)) - np.maximum.accumulate(np.where(new, np.arange(len(x)), 0))
-        apart = new.copy()
-        apart[1:] |= (x[1:] // FAR[0] != x[:-1] // FAR[0]) | (open_[1:] != open_[:-1])
-        kept = apart | (stands < OFTEN)
+        apart = np.ones(len(x), bool)
+        apart[1:] = (x[1:] // FAR[0] != x[:-1] // FAR[0]) | (open_[1:] != open_[:-1])
+        kept = apart | (_turns(mixed) < OFTEN)
         return {"pair": mixed[kept], "key": np.full(int(kept.sum()), key), "x": x[kept], "y": y[kept], "open": open_[kept]}
 
     return _by_document(places, make, "pair long, key long, x int, y int, open boolean")
 
 
-def _further_passages(docs: DataFrame, shared: DataFrame, found: DataFrame) -> DataFrame | None:
+def _windows(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """`run, turn, key, pos, open, kept` of the places whose LEAST words hold one of `pairs(key, x, y, open)`.
+
+    `run` is the hash of those words and `turn` counts their places in the document; of very many, some are kept, as pairs are.
+    """
+    lists = pairs.groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("x", "y", F.col("open").cast("int").alias("open"))).alias("pairs"))
+
+    def make():
+        shingler = Shingler()
+
+        def work(rows: dict) -> dict:
+            out = {"run": [], "turn": [], "key": [], "pos": [], "open": [], "kept": []}
+            for key, text, pairs in zip(rows["_key"], rows["text"], rows["pairs"]):
+                words = shingler.words(text)
+                x, y, open_ = np.array([[p["x"], p["y"], p["open"]] for p in pairs]).T
+                low, high = np.maximum(y + SEED - LEAST, 0), np.minimum(x, len(words) - LEAST) + 1
+                # how many pairs, and open ones, lie in the words from each place
+                covers = np.zeros((2, len(words) + 1), np.int64)
+                held = low < high
+                for cover, of in zip(covers, (held, held & (open_ > 0))):
+                    np.add.at(cover, low[of], 1)
+                    np.add.at(cover, high[of], -1)
+                every, opened = np.cumsum(covers, axis=1)
+                at = np.nonzero(every)[0]
+                run = shingler.runs_from(words, at, LEAST).view(np.int64)
+                order = np.lexsort((at, run))
+                at, run = at[order], run[order]
+                turn, apart = _turns(run), np.ones(len(at), bool)
+                apart[1:] = at[1:] // FAR[0] != at[:-1] // FAR[0]
+                values = run, turn.astype(np.int32), np.full(len(at), key, np.int64), at.astype(np.int32), opened[at] > 0, apart | (turn < OFTEN)
+                for k, v in zip(out, values):
+                    out[k].append(v)
+            return {k: np.concatenate(v) for k, v in out.items()} if out["run"] else None
+
+        return work
+
+    rows = docs.select("_key", "text").join(lists, "_key")
+    return materialize(map_rows(rows, make, schema("run long, turn int, key long, pos int, open boolean, kept boolean"), size=128), "windows")
+
+
+def _at_first(rows: DataFrame, held: DataFrame, by: list[str], ends: list[tuple[str, int]]) -> DataFrame:
+    """`key, anchor, pos, at` of the `rows(*by, key, ...)` after the `first` that `held` has for them.
+
+    A row matches at each of `ends`: a column of places and what is added to it.
+    """
+    both = rows.join(held, by).filter("key > first.key")
+    points = F.array(*[F.struct((F.col(c) + n).alias("pos"), (F.col(f"first.{c}") + n).alias("at")) for c, n in ends])
+    return both.select("key", F.col("first.key").alias("anchor"), F.explode(points).alias("m")).select("key", "anchor", "m.pos", "m.at")
+
+
+def _pair_matches(pairs: DataFrame) -> DataFrame:
+    """`key, anchor, pos, at` of open pairs, each with the first place of its first holder, of each class of documents."""
+    held = pairs.groupBy("pair", F.pmod(F.xxhash64("key"), F.lit(HOLDERS))).agg(F.min(F.struct("key", "x", "y")).alias("first")).select("pair", "first")
+    return _at_first(pairs.filter("open"), held, ["pair"], [("x", 0), ("y", 0)])
+
+
+def _run_matches(windows: DataFrame) -> DataFrame:
+    """`key, anchor, pos, at` of open runs, each with the first document that holds it as often, or else with its first place at all.
+
+    So a repeated text that comes again is matched along one diagonal, not place by place.
+    """
+    held = windows.groupBy("run", "turn").agg(F.min(F.struct("key", "pos")).alias("first"), F.max("key").alias("last"))
+    held = materialize(held.filter("first.key < last").drop("last"), "held_runs")
+    # close enough together to be one run of matches
+    ends = [("pos", n) for n in (*range(0, LEAST - SEED, SEED + SPAN), LEAST - SEED)]
+    rows = windows.filter("open")
+    later = rows.filter("kept AND turn > 0").join(held, ["run", "turn"], "left").filter("first IS NULL OR key <= first.key").drop("first")
+    return _at_first(rows, held, ["run", "turn"], ends).unionByName(_at_first(later.drop("turn"), held.filter("turn = 0").drop("turn"), ["run"], ends))
+
+
+def _further_passages(docs: DataFrame, shared: DataFrame, found: DataFrame) -> DataFrame:
     """Passages that take in shared seeds outside of the passages `found`; `shared` has `seed, key, pos, anchor`."""
-    near = materialize(_open_places(shared, found), "open_seeds")
-    wanted = materialize(near.select("seed").distinct(), "open_seed_values")
-    # a seed of an earlier holder need not be open itself
-    places = shared.select("key", "pos", "seed").join(wanted, "seed").select("key", "pos", "seed")
-    places = places.join(near.select("key", "pos", "open"), ["key", "pos"], "left").select(
-        "key", "pos", "seed", F.coalesce("open", F.lit(False)).alias("open")
-    )
-    pairs = materialize(_seed_pairs(places), "seed_pairs")
+    places = materialize(_open_places(shared, found), "open_seeds")
+    # a seed of an earlier holder need not be near an open one itself
+    wanted = materialize(places.filter("near").select("seed").distinct(), "open_seed_values")
+    pairs = materialize(_seed_pairs(places.join(wanted, "seed").select("key", "pos", "seed", "open")), "seed_pairs")
     held = pairs.groupBy("pair").agg(F.min("key").alias("first"), F.max(F.when(F.col("open"), F.col("key"))).alias("last"))
     held = materialize(held.filter("first < last").select("pair"), "shared_pairs")
-    rank = F.dense_rank().over(Window.partitionBy("pair").orderBy("key")) - 1
-    ranked = materialize(pairs.join(held, "pair").withColumn("rank", rank), "ranked_pairs")
-    most = ranked.agg(F.max("rank").alias("n")).first().n
-    low, size, parts, waiting = 0, HOLDERS, [], ranked.filter("open")
-    while most is not None and low < most:
-        # as in the first matching, a document that holds a pair again and again is matched at its first place
-        holders = ranked.filter((F.col("rank") >= low) & (F.col("rank") < low + size)).groupBy("pair", "key", "rank").agg(F.min(F.struct("x", "y")).alias("at"))
-        holders = holders.select("pair", "key", "rank", "at.x", "at.y")
-        both = waiting.alias("d").join(holders.alias("h"), "pair").filter("d.rank > h.rank")
-        ends = F.array(*[F.struct(F.col(f"d.{c}").alias("pos"), F.col(f"h.{c}").alias("at")) for c in ("x", "y")])
-        matches = both.select(F.col("d.key").alias("key"), F.col("h.key").alias("anchor"), F.explode(ends).alias("m"))
-        parts.append(_confirmed_table(docs, matches.select("key", "anchor", "m.pos", "m.at").distinct()))
-        low, size = low + size, size * FURTHER
-        if low < most:
-            inside = parts[-1].select("key", "start", "end").alias("p")
-            lies = (F.col("p.key") == F.col("w.key")) & (F.col("p.start") <= F.col("w.x")) & (F.col("p.end") > F.col("w.y"))
-            waiting = materialize(waiting.filter(F.col("rank") > low).alias("w").join(inside, lies, "left_anti"), "waiting_pairs")
-            if waiting.isEmpty():
-                break
-    return reduce(DataFrame.unionByName, parts) if parts else None
+    pairs = materialize(pairs.join(held, "pair"), "held_pairs")
+    matches = _pair_matches(pairs).unionByName(_run_matches(_windows(docs, pairs)))
+    return _confirmed_table(docs, matches.distinct())
 
 
 def _outermost(found: DataFrame, further: DataFrame) -> DataFrame:
@@ -449,8 +501,7 @@ def passages(docs: DataFrame) -> DataFrame:
     first = materialize(first, "shared")
     shared = materialize(seeds.join(first, "seed").select("seed", "key", "pos", "anchor", "at"), "shared_seeds")
     found = _confirmed_table(docs, shared.filter("key <> anchor").select("key", "anchor", "pos", "at"))
-    further = _further_passages(docs, shared, found)
-    return found if further is None else materialize(_outermost(found, further), "passages")
+    return materialize(_outermost(found, _further_passages(docs, shared, found)), "passages")
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
