@@ -1,12 +1,15 @@
 """Spark ML forecasts on the smallest data set."""
 
 import itertools
+import json
 import math
 import random
+import threading
 
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from conftest import SF_DIR
@@ -268,3 +271,42 @@ def test_metrics_take_one_exchange_of_the_forecasts(spark, table):
     scans, exchanges = plan.count("FileScan"), plan.count("Exchange hashpartitioning")
     # the second exchange carries one partial row a model and split from each task
     assert scans == 1 and exchanges == 2
+
+
+def made_table(spark):
+    """A training table of 12 zones on 24 dates, the last 8 of them held out, four to a split."""
+    rows = spark.range(12 * 24).select(
+        F.format_string("z%02d", F.col("id") % 12).alias("zone_id"), F.expr("date_add(DATE '2024-01-01', CAST(id DIV 12 AS INT))").alias("created_date"),
+        (F.col("id") * 7 % 12 + F.col("id") % 5).cast("double").alias("y"), (F.col("id") * 7 % 12).cast("double").alias("a"), (F.col("id") % 3).cast("double").alias("b"),
+    )
+    split = F.expr("CASE WHEN created_date < DATE '2024-01-17' THEN 'train' WHEN created_date < DATE '2024-01-21' THEN 'val' ELSE 'test' END")
+    return rows.select(split.alias("split"), "zone_id", "created_date", "y", F.col("y").alias("label"), array_to_vector(F.array("a", "b")).alias("features"))
+
+
+def test_families_are_searched_side_by_side_with_a_bound_on_fits(spark, monkeypatch):
+    table, plain_search, plain_fit = made_table(spark), tuning.search, models.fit
+    options = {"n_trials": 2, "n_folds": 2, "space": {"maxIter": (2, 3, "int"), "maxDepth": (2, 3, "int"), "stepSize": (0.1, 0.2, "log")}}
+    families = ("LightGBM", "XGBoost", "HistGradientBoosting")
+    want = {family: plain_search(table, family, **options)[0] for family in families}
+    meet, lock, running, most = threading.Barrier(len(families), timeout=60), threading.Lock(), [0], [0]
+
+    def search(*args, **more):
+        meet.wait()
+        return plain_search(*args, **more)
+
+    def fit(*args):
+        with lock:
+            running[0] += 1
+            most[0] = max(most[0], running[0])
+        try:
+            return plain_fit(*args)
+        finally:
+            with lock:
+                running[0] -= 1
+
+    monkeypatch.setattr(tuning, "search", search)
+    monkeypatch.setattr(models, "fit", fit)
+    results, fitted = tuning.tuning_results(table, families, parallelism=2, **options)
+    assert most[0] <= 2 and [m.name for m in fitted] == list(families)
+    got = {r.model_name: (json.loads(r.best_params), r.best_cv_p10) for r in results.collect()}
+    assert got == {family: (params, pytest.approx(score)) for family, (_, params, score) in want.items()}

@@ -84,7 +84,7 @@ class BatchJobs:
         write_panel(self.work.features, f"{self.marts}/zone_daily_features")
         for stale in ("_split", "_training", "_tuned", "_forecasts"):
             self.__dict__.pop(stale, None)
-        train, held_out = self._training.filter("split = 'train'"), self._training.filter("split <> 'train'")
+        train, held_out = models.training_rows(self._training), self._training.filter("split <> 'train'")
         fitted = [models.fit(n, train, self._override(n)) for n in ("RandomForest", "HistGradientBoosting")]
         preds = [evaluation.baseline_predictions(self._split), *[m.predictions(held_out) for m in fitted]]
         names = {"Persistence (lag_1)": "baseline", "RandomForest": "rf", "HistGradientBoosting": "hgb"}
@@ -133,7 +133,7 @@ class BatchJobs:
             weights = {r.model_name: r.weight for r in rows}  # one weight per tuned family
         chosen = fitted if "Ensemble" in name else [m for m in fitted if m.name == name]
         write_ordered(self._recommend(chosen, weights), f"{self.marts}/deployment_recommendations", deployment.risk_order(), self.settings.fmt)
-        train = self._training.filter("split = 'train'")
+        train = models.training_rows(self._training)
         # the two leading boosted families and a forest of half the trees are shown; the first of the two is explained row by row
         shown = [m for name in ("LightGBM", "XGBoost") for m in fitted if m.name == name]
         forest = models.fit("RandomForest", train, {"numTrees": 100, **(self._override("RandomForest") or {})})
