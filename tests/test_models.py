@@ -5,6 +5,7 @@ import json
 import math
 import random
 import threading
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF_DIR
 from zonecast.operators import attribution, evaluation, extra_trees, linear, models, tuning
+from zonecast.plans.catalog import QUERIES
 from zonecast.plans.workspace import workspace
 
 
@@ -310,3 +312,25 @@ def test_families_are_searched_side_by_side_with_a_bound_on_fits(spark, monkeypa
     assert most[0] <= 2 and [m.name for m in fitted] == list(families)
     got = {r.model_name: (json.loads(r.best_params), r.best_cv_p10) for r in results.collect()}
     assert got == {family: (params, pytest.approx(score)) for family, (_, params, score) in want.items()}
+
+
+def test_ensemble_forecasts_each_row_once(spark):
+    table = made_table(spark)
+    forecast = spark.sparkContext.accumulator(0)
+
+    def guess(y):
+        forecast.add(1)
+        return y + 1.0
+
+    class Model:
+        def __init__(self, name, factor):
+            self.name, self.factor = name, factor
+
+        def predictions(self, rows):
+            yhat = F.udf(guess, "double")(F.col("y")) * self.factor
+            return rows.select(F.lit(self.name).alias("model_name"), F.lit("raw").alias("variant"), "split", "zone_id", "created_date", "y", yhat.alias("yhat"))
+
+    w = SimpleNamespace(training=table, tuning=(None, [Model("One", 1.0), Model("Two", 2.0)]))
+    board = QUERIES["ensemble_results"](w).collect()
+    assert {r.model_name for r in board} == {"One", "Two", evaluation.SIMPLE_BLEND, evaluation.WEIGHTED_BLEND}
+    assert forecast.value == 2 * 12 * 8
