@@ -126,3 +126,12 @@ def test_sent_rows_grow_the_trees_of_spread_ones(spark, fit):
     else:  # quantiles of a spread table are near ones
         assert np.mean([(a[i] - b[i]) ** 2 for i in a]) < 0.05 * y.var()
     assert whole.featureImportances.toArray().sum() == pytest.approx(1)
+
+
+def test_queries_fit_the_published_sizes(monkeypatch):
+    fitted = []
+    monkeypatch.setattr(models, "training_rows", lambda table: table)
+    monkeypatch.setattr(models.ranks, "send", lambda train: None)
+    monkeypatch.setattr(models, "fit", lambda name, train, params=None, variant="raw", *sent: fitted.append((name, {**models.PRESETS[name], **(params or {})})))
+    Workspace.fits.func(SimpleNamespace(training=None))
+    assert len(fitted) == 14 and all(params == models.PRESETS[name] for name, params in fitted)
