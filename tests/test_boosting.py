@@ -135,3 +135,23 @@ def test_queries_fit_the_published_sizes(monkeypatch):
     monkeypatch.setattr(models, "fit", lambda name, train, params=None, variant="raw", *sent: fitted.append((name, {**models.PRESETS[name], **(params or {})})))
     Workspace.fits.func(SimpleNamespace(training=None))
     assert len(fitted) == 14 and all(params == models.PRESETS[name] for name, params in fitted)
+
+
+def test_queries_search_the_published_space(spark, monkeypatch):
+    searched = {}
+
+    def halving(blocks, trials, forecast, *_):
+        searched[forecast.family] = trials
+        return spark.createDataFrame([(0, 100, 3, 0.5)], "trial int, rounds int, folds int, score double")
+
+    x, y = rows_of(60)
+    table = frame(spark, x, y).select(
+        F.when(F.col("row") < 40, "train").otherwise("val").alias("split"), F.format_string("z%d", F.col("row") % 2).alias("zone_id"),
+        F.expr("date_add(DATE '2024-01-01', CAST(row DIV 2 AS INT))").alias("created_date"), F.col("label").alias("y"), "label", "features",
+    )
+    monkeypatch.setattr(tuning, "halving", halving)
+    results, _ = Workspace.tuning.func(SimpleNamespace(training=table))
+    assert results.count() == 3 and set(searched) == set(models.TUNED)
+    for family, trials in searched.items():
+        assert len(trials) == 50 and all(set(t) == set(tuning.SPACES[family]) for t in trials)
+        assert all(100 <= t["maxIter"] <= 600 and 3 <= t["maxDepth"] <= 12 for t in trials) and max(t["maxIter"] for t in trials) > 500
